@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat
+from seamline.llm import chat, exact_dedup, mixing
 from seamline.llm.common import read_table
 
 
+#: The mixture has as many documents as the input, in equal shares of all sources.
+EPOCHS, SEED = 1.0, 42
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.poisson_mix(read_table(spark, sf_dir, "documents"), epochs=EPOCHS, seed=SEED)
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -17,7 +29,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op8_chat_format": op8_chat_format}
+    return {
+        "op2_exact_dedup": op2_exact_dedup,
+        "op3_poisson_mix": op3_poisson_mix,
+        "op8_chat_format": op8_chat_format,
+    }
 
 
 ESCAPED = "replace({}, '\\', '\\\\')"
@@ -41,5 +57,29 @@ FROM summed GROUP BY conv_id
 """
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, {LOWER} AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm)
+"""
+
+OP3_SQL = f"""
+WITH counts AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+rates AS (SELECT source, 1.0::DOUBLE / count(*) OVER () * sum(n) OVER () * {EPOCHS} / n AS rate FROM counts),
+steps AS (SELECT source, ceil(rate / {mixing.STEP})::INT AS draws, rate / ceil(rate / {mixing.STEP}) AS mean FROM rates),
+terms AS (SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM steps, range(0, {mixing.TERMS + 1}) AS t(k)),
+draws AS (SELECT d.doc_id, d.source, ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || j), 1, 13))::BIGINT / (1::BIGINT << 52) AS u
+  FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source, unnest(range(1, s.draws + 1)) AS x(j)),
+copies AS (SELECT doc_id, count(*) AS n FROM draws JOIN terms ON draws.source IS NOT DISTINCT FROM terms.source AND c <= u GROUP BY doc_id)
+SELECT d.*, i::INT AS copy,
+  ('0x' || substr(md5('{SEED + 1}:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || i), 1, 13))::BIGINT / (1::BIGINT << 52) AS shuffle_key
+FROM documents d JOIN copies c ON d.doc_id IS NOT DISTINCT FROM c.doc_id, unnest(range(0, c.n)) AS y(i)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_poisson_mix": OP3_SQL, "op8_chat_format": OP8_SQL}
