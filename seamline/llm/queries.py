@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat, exact_dedup, mixing
+from seamline.llm import chat, exact_dedup, mixing, simhash
 from seamline.llm.common import read_table
 
 
@@ -21,6 +21,10 @@ def op3_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.poisson_mix(read_table(spark, sf_dir, "documents"), epochs=EPOCHS, seed=SEED)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -32,6 +36,7 @@ def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op3_poisson_mix": op3_poisson_mix,
+        "op4_simhash": op4_simhash,
         "op8_chat_format": op8_chat_format,
     }
 
