@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat, exact_dedup, mixing, simhash
-from seamline.llm.common import read_table
+from seamline.llm import chat, exact_dedup, mixing, simhash, toxicity
+from seamline.llm.common import crc_fold, read_table
+
+
+#: A document is rejected as toxic from this score on.
+TOXIC = 0.7
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, read_table(spark, sf_dir, "labels"), folds=3, held=1))
+    held = crc_fold(F.col("doc_id"), 3) == 1
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 #: The mixture has as many documents as the input, in equal shares of all sources.
@@ -34,6 +45,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_poisson_mix": op3_poisson_mix,
         "op4_simhash": op4_simhash,
