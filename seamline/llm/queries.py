@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat, exact_dedup, mixing, simhash, toxicity
+from seamline.llm import chat, exact_dedup, langid, mixing, simhash, toxicity
 from seamline.llm.common import crc_fold, read_table
 
 
@@ -36,6 +36,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.Model(langid.training_texts(docs, folds=4, held=2))
+    held = crc_fold(F.col("doc_id"), 4) == 2
+    return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -49,6 +56,7 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_poisson_mix": op3_poisson_mix,
         "op4_simhash": op4_simhash,
+        "op5_ppm_language": op5_ppm_language,
         "op8_chat_format": op8_chat_format,
     }
 
