@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat, exact_dedup, langid, mixing, simhash, toxicity
+from seamline.llm import chat, decontaminate, exact_dedup, langid, mixing, simhash, toxicity
 from seamline.llm.common import crc_fold, read_table
 
 
@@ -43,6 +43,10 @@ def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -57,6 +61,7 @@ def queries() -> dict:
         "op3_poisson_mix": op3_poisson_mix,
         "op4_simhash": op4_simhash,
         "op5_ppm_language": op5_ppm_language,
+        "op6_decontaminate": op6_decontaminate,
         "op8_chat_format": op8_chat_format,
     }
 
