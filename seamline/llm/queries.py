@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat, decontaminate, exact_dedup, langid, mixing, simhash, toxicity
+from seamline.llm import chat, decontaminate, exact_dedup, langid, license_scan, mixing, simhash, toxicity
 from seamline.llm.common import crc_fold, read_table
 
 
@@ -54,6 +54,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(turns))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -63,6 +67,7 @@ def queries() -> dict:
         "op5_ppm_language": op5_ppm_language,
         "op6_decontaminate": op6_decontaminate,
         "op8_chat_format": op8_chat_format,
+        "op9_license_scan": op9_license_scan,
     }
 
 
