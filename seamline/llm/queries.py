@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat, decontaminate, exact_dedup, langid, license_scan, mixing, simhash, toxicity
+from seamline.llm import chat, decontaminate, exact_dedup, html_extract, langid, license_scan, mixing, simhash, toxicity
 from seamline.llm.common import crc_fold, read_table
 
 
@@ -58,6 +58,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -68,6 +72,7 @@ def queries() -> dict:
         "op6_decontaminate": op6_decontaminate,
         "op8_chat_format": op8_chat_format,
         "op9_license_scan": op9_license_scan,
+        "op10_html_extract": op10_html_extract,
     }
 
 
