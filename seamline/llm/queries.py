@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamline.llm import chat, decontaminate, exact_dedup, html_extract, langid, license_scan, mixing, simhash, toxicity
+from seamline.llm import chat, decontaminate, exact_dedup, html_extract, langid, license_scan, mixing, quality, simhash, toxicity
 from seamline.llm.common import crc_fold, read_table
 
 
@@ -47,6 +47,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op7_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score(docs, *quality.train(docs))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -70,6 +75,7 @@ def queries() -> dict:
         "op4_simhash": op4_simhash,
         "op5_ppm_language": op5_ppm_language,
         "op6_decontaminate": op6_decontaminate,
+        "op7_weak_label_quality": op7_weak_label_quality,
         "op8_chat_format": op8_chat_format,
         "op9_license_scan": op9_license_scan,
         "op10_html_extract": op10_html_extract,

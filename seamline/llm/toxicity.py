@@ -221,3 +221,17 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.7) -> DataFrame:
+    """The rows of `docs`, all columns, whose text scores below `reject`; null texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(place))
+            keep = [shared.value.score(data[s:e].tobytes()) < reject for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
