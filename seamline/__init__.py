@@ -1 +1,8 @@
 """Context retrieval and corpus processing on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions travel to the workers by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.functions import text as T
+from seamline.lineage import cut
 
 # Fixed values.
 RANK = {"exact": 0, "heuristic": 1, "unresolved": 2}
@@ -47,59 +48,65 @@ def owned_references(chunks: DataFrame) -> DataFrame:
     return judged.where("owns").unionByName(unclaimed).drop("ref_key")
 
 
-def _candidate(path: Column, via: Column, module: Column | bool = False) -> Column:
-    return F.struct(path.alias("path"), via.alias("via"), (F.lit(module) if isinstance(module, bool) else module).alias("module"))
+def ecmascript_target(file: Column, specifier: Column) -> Column:
+    return T.normalize_path(F.concat_ws("/", F.when(T.directory_of(file) != "", T.directory_of(file)), specifier))
 
 
-def ecmascript_candidates(file: Column, specifier: Column) -> Column:
-    """Files that a relative specifier may mean, best first."""
-    target = T.normalize_path(F.concat_ws("/", F.when(T.directory_of(file) != "", T.directory_of(file)), specifier))
-    ext = T.extension_of(target)
+def _struct(path: Column, via: Column, module: bool = False) -> Column:
+    return F.struct(path.alias("path"), via.alias("via"), F.lit(module).alias("module"))
+
+
+def ecmascript_candidates(target: Column, ext: Column) -> Column:
+    """Files that a relative specifier's target may mean, best first."""
     stripped = target.substr(F.lit(1), F.length(target) - F.length(ext))
-    exact = F.array(_candidate(target, F.lit("exact path")))
-    mapped = F.lit(None)
-    for emitted, sources in EMITTED.items():
-        mapped = F.when(ext == emitted, F.array(*(_candidate(F.concat(stripped, F.lit(s)), F.lit(f"{emitted} specifier mapped to {s} source")) for s in sources))).otherwise(mapped)
-    appended = F.array(*(_candidate(F.concat(target, F.lit(e)), F.lit(f"extension {e} appended")) for e in EXTENSIONS))
-    index = F.array(*(_candidate(T.normalize_path(F.concat(target, F.lit(f"/index{e}"))), F.lit("index file")) for e in EXTENSIONS))
-    return F.concat(exact, F.coalesce(mapped, F.slice(exact, 1, 0)), appended, index)
+    sources = F.create_map(*(x for e, to in EMITTED.items() for x in (F.lit(e), F.array(*map(F.lit, to)))))
+    mapped = F.transform(F.coalesce(F.try_element_at(sources, ext), F.array().cast("array<string>")), lambda s: _struct(F.concat(stripped, s), F.concat(ext, F.lit(" specifier mapped to "), s, F.lit(" source"))))
+    every = F.array(*map(F.lit, EXTENSIONS))
+    appended = F.transform(every, lambda e: _struct(F.concat(target, e), F.concat(F.lit("extension "), e, F.lit(" appended"))))
+    index = F.transform(every, lambda e: _struct(F.concat(F.when(target != "", F.concat(target, F.lit("/"))).otherwise(""), F.lit("index"), e), F.lit("index file")))
+    return F.concat(F.array(_struct(target, F.lit("exact path"))), mapped, appended, index)
 
 
-def python_candidates(file: Column, specifier: Column, name: Column) -> Column:
-    """Modules that a specifier may mean; `from . import x` tries the module x first."""
+def python_bases(file: Column, specifier: Column, name: Column) -> Column:
+    """array of (base path, whether it names a module of its own, whether only a package counts) that
+    a specifier may mean, best first; `from . import x` tries the module x first."""
     dots, dotted = F.regexp_extract(specifier, r"^(\.*)", 1), F.replace(F.regexp_extract(specifier, r"^\.*(.*)$", 1), F.lit("."), F.lit("/"))
     up = F.concat(F.when(T.directory_of(file) != "", F.concat(T.directory_of(file), F.lit("/"))).otherwise(""), F.repeat(F.lit("../"), F.greatest(F.length(dots) - 1, F.lit(0))))
+    item = lambda base, own, package: F.struct(base.alias("base"), own.alias("own"), package.alias("package"))
+    no = F.lit(False)
+    relative = F.array(item(F.concat(up, name), (dotted == "") & name.rlike(IDENTIFIER), no), item(F.concat(up, dotted), no, dotted == ""))
+    absolute = F.array(item(dotted, no, no), item(F.concat(T.top_level_of(file), F.lit("/"), dotted), no, no))
+    found = F.when(dots != "", F.filter(relative, lambda b: b["own"] | (b["base"] == F.concat(up, dotted)))).otherwise(F.filter(absolute, lambda b: (b["base"] == dotted) | (F.instr(file, "/") > 0)))
+    return F.transform(found, lambda b: item(T.normalize_path(b["base"]), b["own"], b["package"]))
 
-    def module(base: Column, own: bool) -> list[Column]:
-        path = T.normalize_path(base)
-        return [_candidate(F.concat(path, F.lit(".py")), F.lit("module file"), own), _candidate(T.normalize_path(F.concat(path, F.lit("/__init__.py"))), F.lit("package __init__"), own)]
 
-    sibling = F.when((dotted == "") & name.rlike(IDENTIFIER), F.array(*module(F.concat(up, name), True)))
-    relative = F.when(dotted == "", F.array(module(up, False)[1])).otherwise(F.array(*module(F.concat(up, dotted), False)))
-    top = F.when(F.instr(file, "/") > 0, F.array(*module(F.concat(T.top_level_of(file), F.lit("/"), dotted), False)))
-    empty = F.slice(relative, 1, 0)
-    return F.when(dots != "", F.concat(F.coalesce(sibling, empty), relative)).otherwise(F.concat(F.array(*module(dotted, False)), F.coalesce(top, empty)))
+def python_candidates(bases: Column) -> Column:
+    init = lambda b: F.concat(F.when(b["base"] != "", F.concat(b["base"], F.lit("/"))).otherwise(""), F.lit("__init__.py"))
+    both = F.transform(bases, lambda b: F.array(F.struct(F.when(~b["package"], F.concat(b["base"], F.lit(".py"))).alias("path"), F.lit("module file").alias("via"), b["own"].alias("module")), F.struct(init(b).alias("path"), F.lit("package __init__").alias("via"), b["own"].alias("module"))))
+    return F.filter(F.flatten(both), lambda c: c["path"].isNotNull())
 
 
 def resolve_imports(refs: DataFrame, files: DataFrame) -> DataFrame:
     """Adds to_file, via, module and unresolved (why not) to rows with id, ref_pos, file, language, ref; `files` is (file)."""
-    spec, ecma = F.col("ref.specifier"), F.col("language").isin("typescript", "javascript")
+    spec, ecma, python = F.col("ref.specifier"), F.col("language").isin("typescript", "javascript"), F.col("language") == "python"
     relative = spec.rlike(r"^\.\.?(/|$)")
-    candidates = F.when(ecma & relative, ecmascript_candidates(F.col("file"), spec)).when(F.col("language") == "python", python_candidates(F.col("file"), spec, F.col("ref.name")))
-    rows = refs.withColumn("candidates", candidates)
+    # one step a column, so that no expression is repeated inside another
+    rows = refs.withColumn("_target", F.when(ecma & relative, ecmascript_target(F.col("file"), spec)))
+    rows = rows.withColumn("_ext", T.extension_of("_target")).withColumn("_bases", F.when(python, python_bases(F.col("file"), spec, F.col("ref.name"))))
+    rows = rows.withColumn("candidates", F.when(F.col("_target").isNotNull(), ecmascript_candidates(F.col("_target"), F.col("_ext"))).when(python, python_candidates(F.col("_bases"))))
     exploded = rows.select("id", "ref_pos", F.posexplode("candidates").alias("pos", "c")).select("id", "ref_pos", "pos", F.col("c.path").alias("path"), F.col("c.via").alias("via"), F.col("c.module").alias("module"))
     known = files.select(F.col("file").alias("path"))
     hit = exploded.join(known, "path").groupBy("id", "ref_pos").agg(F.min_by(F.struct("path", "via", "module"), "pos").alias("hit"))
-    first = F.col("candidates")[0]["path"]
+    first = F.get("candidates", F.lit(0))["path"]
     why = (
         F.when(spec.isNull(), F.when(F.col("ref.kind") == "import", "dynamic specifier").otherwise("no target"))
         .when(ecma & ~relative, F.when(spec.rlike(r"^(@/|~|#)"), "path alias or bare specifier not resolved").otherwise("bare package specifier"))
         .when(first.startswith("../") | (first == ".."), "escapes the repository root")
-        .when((F.col("language") == "python") & ~spec.startswith("."), F.concat(F.lit('no local module for "'), spec, F.lit('" (external packages are not resolved)')))
-        .when(ecma | (F.col("language") == "python"), F.concat(F.lit("no such file in the scanned repository: "), first))
+        .when(python & ~spec.startswith("."), F.concat(F.lit('no local module for "'), spec, F.lit('" (external packages are not resolved)')))
+        .when(ecma | python, F.concat(F.lit("no such file in the scanned repository: "), first))
         .otherwise(F.concat(F.lit("import resolution is not supported for "), F.col("language")))
     )
-    return rows.join(hit, ["id", "ref_pos"], "left").withColumns({"to_file": F.col("hit.path"), "via": F.col("hit.via"), "module": F.col("hit.module"), "unresolved": F.when(F.col("hit").isNull(), why)}).drop("candidates", "hit")
+    return rows.join(hit, ["id", "ref_pos"], "left").withColumns({"to_file": F.col("hit.path"), "via": F.col("hit.via"), "module": F.col("hit.module"), "unresolved": F.when(F.col("hit").isNull(), why)}).drop("candidates", "hit", "_target", "_ext", "_bases")
 
 
 def import_edges(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
@@ -165,7 +172,7 @@ def test_edges(chunks: DataFrame, imports: DataFrame) -> DataFrame:
 
 def build_edges(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """All edges, EDGE_COLUMNS."""
-    imports = import_edges(chunks, files)
+    imports = cut(import_edges(chunks, files))
     return imports.unionByName(test_edges(chunks, imports)).select(*EDGE_COLUMNS)
 
 

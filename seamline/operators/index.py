@@ -44,9 +44,10 @@ def term_scores(chunks: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, query: DataFrame) -> DataFrame:
-    """task_id, chunk_id, score: sum of BM25 over each task's distinct terms; `query` is (task_id, term)."""
+    """task_id, chunk_id, score: sum of BM25 over each task's distinct terms; `query` is (task_id, term).
+    Sums are rounded, as their last digits depend on the order of rows and would break ties."""
     wanted = query.select("task_id", "term").distinct()
-    return wanted.join(term_scores(chunks, wanted), "term").groupBy("task_id", "chunk_id").agg(F.sum("bm25").alias("score"))
+    return wanted.join(term_scores(chunks, wanted), "term").groupBy("task_id", "chunk_id").agg(F.round(F.sum("bm25"), 10).alias("score"))
 
 
 def symbol_keys(chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.config import DEPENDENCY, SAME_DIRECTORY, SAME_TOP_LEVEL, SIGNALS, RetrievalConfig
 from seamline.functions import text as T
+from seamline.lineage import cut
 from seamline.operators import graph as G
 from seamline.operators import score as S
 
@@ -75,15 +76,15 @@ def proximity(file: Column, best: Column) -> Column:
 
 def rank_candidates(terms: DataFrame, scores: DataFrame, edges: DataFrame, chunks: DataFrame, config: RetrievalConfig) -> DataFrame:
     """Lexical candidates and expansions with all six signals, total and origin, not cut or deduplicated."""
-    seeds = select_seeds(scores, config)
-    near, linked = G.neighbors(edges, chunks), G.linked_files(edges)
+    seeds = cut(select_seeds(scores, config))
+    near, linked = cut(G.neighbors(edges, chunks)), cut(G.linked_files(edges))
     seed_keys = F.broadcast(seeds.select("task_id", F.col("rank").alias("seed_rank"), F.col("chunk_id").alias("seed_id"), F.col("file").alias("seed_file")))  # at most seed_count rows a task
     strength = F.when(F.col("confidence") == "exact", DEPENDENCY["exact"]).otherwise(DEPENDENCY["heuristic"])
     dependency = near.join(seed_keys, F.col("id") == F.col("seed_id")).groupBy("task_id", F.col("other").alias("chunk_id")).agg(F.max(strength).alias("dep"))
     tested = linked.join(seed_keys, F.col("file") == F.col("seed_file")).select("task_id", F.col("linked").alias("file"), F.lit(1.0).alias("tested")).distinct()
 
     options = expansion_options(seeds, near, linked, chunks).join(scores.select("task_id", "chunk_id"), ["task_id", "chunk_id"], "left_anti")
-    expanded = capped_expansion(options, config.expansion.max_neighbors_per_seed, config.expansion.max_expanded)
+    expanded = cut(capped_expansion(options, config.expansion.max_neighbors_per_seed, config.expansion.max_expanded))
     place = chunks.select(F.col("id").alias("chunk_id"), "file", "start_line", "end_line")
     added = expanded.join(place, "chunk_id").select("task_id", "chunk_id", "file", "start_line", "end_line", *(F.lit(0.0).alias(s) for s in SIGNALS[:3]), F.concat(F.lit("expanded-from:"), "seed_id").alias("origin"))
     direct = scores.select("task_id", "chunk_id", "file", "start_line", "end_line", *SIGNALS[:3], F.lit("direct").alias("origin"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamline.config import MIN_RELEVANCE
+from seamline.lineage import cut
 
 SUPPORT_KINDS, TARGET_KINDS = ["type", "extends", "implements"], ["type", "interface", "class"]
 #: Containers nest no deeper than a file's syntax; a chain is followed this far at most.
@@ -17,12 +18,12 @@ def parent_chains(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     links = chunks.where("parent_id is not null and parent_id <> id").select(F.col("id").alias("child"), F.col("parent_id").alias("support_id"))
     known = chunks.select(F.col("id").alias("support_id"))
     links = links.join(known, "support_id", "left_semi")
-    level = ids.select("id").distinct().join(links, F.col("id") == F.col("child")).select("id", "support_id")
+    level = cut(ids.select("id").distinct().join(links, F.col("id") == F.col("child")).select("id", "support_id"))
     found = level
     for _ in range(MAX_DEPTH):
-        level = level.withColumnRenamed("support_id", "child").join(links, "child").select("id", "support_id").join(found, ["id", "support_id"], "left_anti").where("support_id <> id")
         if level.isEmpty():
-            return found.distinct()
+            break
+        level = cut(level.withColumnRenamed("support_id", "child").join(links, "child").select("id", "support_id").join(found, ["id", "support_id"], "left_anti").where("support_id <> id"))
         found = found.unionByName(level)
     return found.distinct()
 

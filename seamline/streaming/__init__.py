@@ -1,0 +1,2 @@
+"""Nothing streams: every operator of the engine is a batch query over a fixed corpus, so there is no
+source, state or watermark here."""
