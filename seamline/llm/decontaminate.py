@@ -6,6 +6,10 @@ running byte-wide counters. Fingerprints are cut into blocks of 16 bits: two tha
 most RADIUS bits differ in at most BLOCK_RADIUS bits of one block, so tables from block values
 to the items near them find all items within RADIUS. Every candidate is then verified by exact
 weighted-shingle similarity (multiset Jaccard) of the best nearby stretch of the document.
+
+A copy that differs may lie between the grid's windows, or its fingerprint beyond RADIUS. So where
+a text has a shingle of an item, all windows over it are fingerprinted as well, and compared with
+that item within WIDE_RADIUS. A stretch that reaches the similarity has such shingles.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 #: Largest distance that the blocks guarantee.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: Distance within which windows over an item's own shingles are verified.
+WIDE_RADIUS = 23
 #: Window sizes of one class differ by at most this factor; starts are this share of a window apart.
 SIZE_STEP, STRIDE_SHARE = 1.08, 8
 #: Bytes of text searched at once, so that counters stay in cache.
@@ -104,6 +110,14 @@ class Index:
                 group = []
             if i is not None:
                 group.append(i)
+        self.prints = prints
+        self.holders: dict[int, list[int]] = {}
+        for i, bag in enumerate(self.bags):
+            for h in bag:
+                self.holders.setdefault(h, []).append(i)
+        self.class_of = {i: k for k, c in enumerate(self.classes) for i in c.items.tolist()}
+        self.marks = np.zeros(1 << 20, bool)  # low bits of all shingles
+        self.marks[np.array(list(self.holders), np.uint64) & np.uint64((1 << 20) - 1)] = True
 
     def search(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, similarity, first word) of the best stretch of each text that holds an item;
@@ -126,6 +140,7 @@ class Index:
                 whole = majority(np.concatenate([hashes[a : a + n] for a, n in zip(at, counts[short], strict=True)]), counts[short])
                 windows, items = c.near(whole)
                 found.update((k, s, i) for s, i in zip(at[windows].tolist(), c.items[items].tolist(), strict=True))
+        found.update(self._around_shingles(hashes, lanes, place, left))
         best: dict[tuple[int, int], tuple[float, int]] = {}
         for k, s, i in sorted(found):
             c, text = self.classes[k], int(np.searchsorted(ends, s, "right"))
@@ -138,6 +153,28 @@ class Index:
         for (text, i), (similarity, at) in sorted(best.items()):
             yield text, self.ids[i], similarity, -at
 
+    def _around_shingles(self, hashes: np.ndarray, lanes: np.ndarray, place: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(class, start, item) of the nearest windows over the shingles of each item."""
+        near = np.flatnonzero(self.marks[hashes & np.uint64((1 << 20) - 1)])
+        at: dict[int, list[int]] = {}
+        for p, h in zip(near.tolist(), hashes[near].tolist(), strict=True):
+            for i in self.holders.get(h, ()):
+                at.setdefault(i, []).append(p)
+        for i, places in at.items():
+            k = self.class_of[i]
+            size = self.classes[k].size
+            starts = np.unique((np.array(places)[:, None] - np.arange(size)).ravel())
+            starts = starts[starts >= 0]
+            starts = starts[(left[starts] >= size)]
+            if not len(starts):
+                continue
+            off = np.bitwise_count(self._prints(hashes, lanes, starts, size) ^ self.prints[i]).astype(np.int64)
+            runs = np.cumsum(np.diff(starts, prepend=starts[0]) > 1)
+            order = np.lexsort((starts, off, runs))
+            first = order[np.unique(runs[order], return_index=True)[1]]
+            for j in first[off[first] <= WIDE_RADIUS].tolist():
+                yield k, int(starts[j]), i
+
     def _prints(self, hashes: np.ndarray, lanes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         if size > 127:  # too many for byte-wide counters
             step = max(1, (1 << 22) // size)
@@ -153,14 +190,16 @@ class Index:
         return np.ascontiguousarray((sums >> np.uint64(56)).astype(np.uint8)).view(np.uint64).ravel()
 
     def _verify(self, near: list[int], item: int) -> tuple[float, int]:
-        """Best similarity of a stretch of the shingles near a candidate, and its place: the span of
-        the item's shingles, and every stretch of the item's size."""
+        """Best similarity of a stretch of the shingles near a candidate, and its place: every stretch
+        from the start of one run of the item's shingles to the end of another, and of the item's size."""
         bag = self.bags[item]
         size = sum(bag.values())
         hits = [j for j, h in enumerate(near) if h in bag]
         if len(hits) < SIMILARITY * size:
             return 0.0, 0
-        spans = {(hits[0], hits[-1] + 1)} | {(j, min(j + size, len(near))) for j in range(max(1, len(near) - size + 1))}
+        heads = [j for j in hits if j == 0 or near[j - 1] not in bag]
+        tails = [j + 1 for j in hits if j + 1 == len(near) or near[j + 1] not in bag]
+        spans = {(a, b) for a in heads for b in tails if a < b} | {(j, min(j + size, len(near))) for j in range(max(1, len(near) - size + 1))}
         scored = []
         for a, b in spans:
             both = sum((Counter(near[a:b]) & bag).values())

@@ -91,7 +91,7 @@ class Model:
                 q = np.bincount(place, minlength=len(known)).astype(np.float64)
                 escape = np.where(n > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(q, 1)), 0.0)
                 table = (shorter + escape[:, None]).astype(np.float32)
-                table[place, symbol] = np.log2(n + q)[place] - np.log2(counts)
+                table[place, symbol] = np.log2(np.maximum(n + q, 1))[place] - np.log2(counts)
                 bits[at : at + len(known), :, li] = table
         return states, bits
 
