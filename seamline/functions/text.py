@@ -92,7 +92,7 @@ def judged_code(content: Column | str, cap: int = 6000, marker: str = "\n[trunca
 
 def sanitize_inline(text: Column | str) -> Column:
     """Control characters as U+FFFD, so that one line of output stays one line."""
-    return F.regexp_replace(_col(text), r"[\u0000-\u001F\u007F-\u009F  ]", "�")
+    return F.regexp_replace(_col(text), r"[\u0000-\u001F\u007F-\u009F\u2028\u2029]", "\uFFFD")
 
 
 def longest_backtick_run(text: Column | str) -> Column:

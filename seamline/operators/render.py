@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from seamline.config import SCHEMA_VERSION, SIGNALS
 
-CONTROL = re.compile("[\x00-\x1f\x7f-\x9f  ]")
+CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u2028\u2029]")
 
 
 @dataclass
@@ -66,7 +66,7 @@ class Document:
 
 def plain(text: str) -> str:
     """Control characters as U+FFFD."""
-    return CONTROL.sub("�", text)
+    return CONTROL.sub("\ufffd", text)
 
 
 def ticks(text: str) -> int:

@@ -108,7 +108,7 @@ def longest_valid(source: str) -> list[tuple[int, ast.Module]]:
 
 def split_python(file: str, source: str, language: str = "python") -> Analysis:
     # form feeds and lone carriage returns end no line here, as elsewhere
-    text = source.replace("\r", " ").replace("\f", " ").removeprefix("﻿")
+    text = source.replace("\r", " ").replace("\f", " ").removeprefix("\ufeff")
     try:
         parts, broken = [(0, ast.parse(text))], False
     except (SyntaxError, ValueError):

@@ -85,7 +85,7 @@ def run(tasks: DataFrame, chunks: DataFrame, config: RetrievalConfig | None = No
         given = decide(best, chunks, terms, judge_)
         judged = best.join(given, ["task_id", "chunk_id"]).withColumn("score", F.col("relevance"))
     selected, skipped = select.select_by_relevance(judged, chunks, min_relevance)
-    selected = cut(selected)
+    selected = cut(selected.withColumn("reason", F.coalesce("reason", F.lit("Offline baseline" if judge_ is None else "Judged relevant"))))
     regions = select.region_relevance(select.merge_regions(selected, chunks), judged)
     return Result(terms, chunks, judged, selected, skipped, regions, rank.shortlist_warnings(best, terms, config))
 

@@ -33,7 +33,7 @@ FILE_TYPES = [
         "sh bash zsh dash ksh fish ruby perl php lua awk",
     ),
 ]
-NOT_TEXT = r"[\x00-\x08\x0E-\x1F�]"
+NOT_TEXT = r"[\x00-\x08\x0E-\x1F\uFFFD]"
 HEAD_CHARS = 1024
 PLACEHOLDER = "[REDACTED]"
 #: Credential shapes of one line.
@@ -63,7 +63,7 @@ def _typed(field: int, key: Column) -> Column:
 
 def interpreter_of(head: Column) -> Column:
     """Interpreter of a #! line, with env and version suffixes resolved; null without one."""
-    line = F.regexp_extract(F.regexp_replace(head, "^﻿", ""), r"^([^\r\n]*)", 1)
+    line = F.regexp_extract(F.regexp_replace(head, r"^\uFEFF", ""), r"^([^\r\n]*)", 1)
     words = F.split(F.trim(F.regexp_replace(line, "^#!", "")), r"\s+")
     command = T.base_name(F.get(words, F.lit(0)))
     after = F.filter(F.slice(words, 2, 1000), lambda w: ~w.startswith("-") & ~w.contains("="))
