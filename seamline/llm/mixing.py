@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import BROADCAST_KEYS
+from seamline.llm.common import BROADCAST_KEYS, cut
 
 #: A Poisson count is drawn as a sum of draws with at most this mean, so that no mean is too large to invert.
 STEP = 8.0
@@ -21,7 +21,7 @@ def repetition_rates(docs: DataFrame, source: str = "source", weights: dict[str,
     weights: target share by source, in any unit; None: equal shares. A source without a weight
     gets none of the mixture; a null source is a source of its own (key None).
     """
-    counts = docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs"))
+    counts = cut(docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n_docs")))
     if weights is None:
         share = F.lit(1.0)
     else:
@@ -29,9 +29,9 @@ def repetition_rates(docs: DataFrame, source: str = "source", weights: dict[str,
         for name, w in weights.items():
             share = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(share)
     shared = counts.withColumn("share", share)
-    total = shared.agg(F.sum("n_docs").alias("total"), F.sum("share").alias("shares"))
-    # one row of totals beside one row per source
-    return shared.join(F.broadcast(total)).select("source", "n_docs", F.when(F.col("shares") > 0, F.col("share") / F.col("shares") * F.col("total") * F.lit(float(epochs)) / F.col("n_docs")).otherwise(0.0).alias("rate"))
+    total, shares = shared.agg(F.sum("n_docs"), F.sum("share")).first()
+    scale = float(total or 0) * epochs / shares if shares else 0.0
+    return shared.select("source", "n_docs", (F.col("share") * scale / F.col("n_docs")).alias("rate"))
 
 
 def uniform(seed: int, *parts) -> F.Column:
