@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import blocks, cut, hash_sample, semi, text_buffer
+from seamline.llm.common import BROADCAST_KEYS, blocks, cut, hash_sample, semi, text_buffer
 
 SEED, WORDS, RADIUS, BITS = 42, 3, 2, 64
 #: Buckets of more members than this are split before any pair is compared.
@@ -251,9 +251,14 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        next_ = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = next_.join(next_.select(F.col("node").alias("new"), F.col("new").alias("far")), "new", "left").select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old")
-        now = cut(jump)
+        next_ = cut(labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old")))
+        # only labels that have a smaller label of their own are worth a jump; a component's root has none,
+        # so the many rows that point to it need no shuffle while those few are broadcast
+        moved = next_.where("new < node").select(F.col("node").alias("new"), F.col("new").alias("far"))
+        heads = cut(moved.join(next_.select("new").distinct(), "new", "left_semi"))
+        n_heads = heads.count()
+        far = next_.join(F.broadcast(heads) if n_heads <= BROADCAST_KEYS else heads, "new", "left") if n_heads else next_.withColumn("far", F.col("new"))
+        now = cut(far.select("node", F.least("new", F.coalesce("far", "new")).alias("label"), "old"))
         if now.where("label < old").isEmpty():
             return now.select("node", "label")
         labels = now.select("node", "label")
