@@ -10,11 +10,13 @@ from seamline.functions import text as T
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """chunk_id, term, tf. With `terms` (term), only those are kept before anything is shuffled."""
-    tokens = chunks.select(F.col("id").alias("chunk_id"), F.explode(T.tokenize("content")).alias("term"))
+    """chunk_id, term, dl, tf; dl is the chunk's length. With `terms` (term), only those are kept
+    before anything is shuffled. A chunk is tokenized once for all of it."""
+    split = chunks.select(F.col("id").alias("chunk_id"), T.tokenize("content").alias("tokens"))
+    tokens = split.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if terms is not None:
         tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
-    return tokens.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+    return tokens.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def doc_lengths(chunks: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def term_scores(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     found = postings(chunks, terms)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = F.broadcast(text_stats(chunks))  # one row
-    scored = found.join(df, "term").join(doc_lengths(chunks), "chunk_id").join(stats)
+    scored = found.join(df, "term").join(stats)
     return scored.select("chunk_id", "term", bm25_term(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("bm25"))
 
 
