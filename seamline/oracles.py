@@ -81,6 +81,11 @@ REDACTED = rf"regexp_replace({REDACTED}, '{_ASSIGNED}', '\1[REDACTED]\2', 'g')"
 KNOWN = ", ".join(f"('{e}', '{lang}', '{strategy}')" for lang, strategy, exts, _, _ in FILE_TYPES for e in exts.split())
 LABELLED = "lab AS (SELECT l.*, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id))"
 
+SOURCES = """
+own AS (SELECT c_custkey AS k, 'src/' || lower(c_mktsegment) || '/c' AS d FROM customer),
+src AS (SELECT k, d || k || '.ts' AS file, d || (k + 1) || '.ts' AS wanted FROM own),
+imp AS (SELECT a.k, a.file AS from_file, b.file AS to_file, a.wanted FROM src a LEFT JOIN src b ON a.wanted = b.file)"""
+
 SQL = {
     "tokenize_documents": f"SELECT doc_id, len(t)::INT AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {tokens(TEXT)} AS t FROM documents)",
     "stem_vocabulary": f"SELECT word, {stem('word')} AS stem FROM (SELECT DISTINCT unnest({split('text')}) AS word FROM documents)",
@@ -143,4 +148,17 @@ SQL = {
     CASE WHEN k.strategy IS NOT NULL THEN k.strategy WHEN bang THEN 'semantic' ELSE 'text' END AS strategy,
     CASE WHEN k.language IS NOT NULL THEN 'extension ' || e.ext WHEN bang THEN 'shebang python' WHEN e.ext = '' THEN 'no extension, content looks like text' ELSE 'unknown extension ' || e.ext || ', content looks like text' END AS reason
   FROM e LEFT JOIN known k USING (ext)""",
+    "source_chunks": f"""WITH {SOURCES}, c AS (
+  SELECT file, 'function' AS kind, 'f' || k AS name, 2 AS s, 4 AS e, 'export function f' || k || '() {{' || chr(10) || '  return f' || (k + 1) || '();' || chr(10) || '}}' AS content FROM src
+  UNION ALL SELECT d || k || '.test.ts', 'function', 'test: c' || k, 1, 3, 'test("c' || k || '", () => {{' || chr(10) || '  run();' || chr(10) || '}});' FROM own WHERE k % 10 = 0)
+  SELECT left(sha256(file || ':' || s || '-' || e || ':' || kind || ':' || name), 12) AS id, file, kind, name, s AS start_line, e AS end_line, content FROM c""",
+    "import_graph": f"""WITH {SOURCES}
+  SELECT 'import' AS kind, from_file, to_file, 'f' || (k + 1) AS name, CASE WHEN to_file IS NULL THEN 'unresolved' ELSE 'exact' END AS confidence,
+    CASE WHEN to_file IS NULL THEN 'no such file in the scanned repository: ' || replace(wanted, '.ts', '.js') ELSE 'import "./c' || (k + 1) || '.js" resolved to ' || to_file || ' (.js specifier mapped to .ts source); f' || (k + 1) || ' is a chunk there' END AS evidence FROM imp
+  UNION ALL SELECT 'test', d || k || '.test.ts', d || k || '.ts', d || k || '.ts', 'heuristic', 'test file naming convention: ' || d || k || '.test.ts <-> ' || d || k || '.ts' FROM own WHERE k % 10 = 0""",
+    "graph_neighbors": f"""WITH {SOURCES}, e AS (SELECT k AS a, k + 1 AS b, from_file AS fa, to_file AS fb FROM imp WHERE to_file IS NOT NULL), n AS (SELECT a, b, fb AS f FROM e UNION ALL SELECT b, a, fa FROM e)
+  SELECT 'f' || a AS name, 'f' || b AS other_name, 'exact' AS confidence, row_number() OVER (PARTITION BY a ORDER BY f)::INT AS place FROM n""",
+    "judgment_problems": """WITH c AS (SELECT doc_id FROM documents WHERE doc_id % 7 > 0), j AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS n FROM labels)
+  SELECT coalesce(c.doc_id, j.doc_id)::VARCHAR AS chunk_id, CASE WHEN c.doc_id IS NULL THEN 'unknown' WHEN j.doc_id IS NULL THEN 'missing' ELSE 'repeated' END AS problem FROM c FULL JOIN j ON c.doc_id = j.doc_id WHERE c.doc_id IS NULL OR j.doc_id IS NULL OR n > 1""",
+    "blended_scores": f"WITH {LABELLED} SELECT doc_id, round(quality + 0.1 * coalesce((n_chars % 97) / nullif(max(n_chars % 97) OVER (PARTITION BY source), 0), 0), 6) AS blended FROM lab",
 }

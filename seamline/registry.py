@@ -309,6 +309,49 @@ def retrieve(spark, sf_dir):
     return S.top_k(found, RetrievalConfig().shortlist_size).select("task_id", "chunk_id", "file", "symbol", F.round("lexical", 9).alias("lexical"), "path", F.round("total", 9).alias("total"), "rank")
 
 
+def customer_sources(spark, sf_dir):
+    """A TypeScript file for each customer, which imports the next customer's from its own segment's
+    directory; every tenth has a test file beside it."""
+    k = F.col("c_custkey")
+    at = F.concat(F.lit("src/"), F.lower("c_mktsegment"), F.lit("/c"), k.cast("string"))
+    code = F.format_string('import { f%d } from "./c%d.js";\nexport function f%d() {\n  return f%d();\n}\n', k + 1, k + 1, k, k + 1)
+    rows = table(spark, sf_dir, "customer")
+    files = rows.select(F.concat(at, F.lit(".ts")).alias("path"), code.alias("source"))
+    tests = rows.where(k % 10 == 0).select(F.concat(at, F.lit(".test.ts")).alias("path"), F.format_string('test("c%d", () => {\n  run();\n});\n', k).alias("source"))
+    return files.unionByName(tests).withColumn("language", F.lit("typescript"))
+
+
+def source_chunks(spark, sf_dir):
+    return split_files(customer_sources(spark, sf_dir)).select("id", "file", "kind", "name", "start_line", "end_line", "content")
+
+
+def import_graph(spark, sf_dir):
+    edges = G.build_edges(split_files(customer_sources(spark, sf_dir)))
+    return edges.select("kind", "from_file", "to_file", "name", "confidence", "evidence")
+
+
+def graph_neighbors(spark, sf_dir):
+    chunks = split_files(customer_sources(spark, sf_dir))
+    names = chunks.select("id", "name")
+    near = G.neighbors(G.build_edges(chunks), chunks)
+    return near.join(names, "id").join(names.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other").select("name", "other_name", "confidence", "place")
+
+
+def judgment_problems(spark, sf_dir):
+    """Documents are candidates; labels are judgments, some of them twice."""
+    docs = table(spark, sf_dir, "documents").select(F.lit("t").alias("task_id"), F.col("doc_id").cast("string").alias("chunk_id"))
+    labels = table(spark, sf_dir, "labels").select(F.lit("t").alias("task_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("quality").cast("double").alias("relevance"))
+    twice = labels.where("cast(chunk_id as long) % 9 = 0")
+    from seamline.operators.judge import check_judgments
+
+    return check_judgments(docs.where("cast(chunk_id as long) % 7 > 0"), labels.unionByName(twice)).select("chunk_id", "problem")
+
+
+def blended_scores(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select(F.col("source").alias("task_id"), "doc_id", F.col("quality").cast("double").alias("relevance"), F.pmod("n_chars", F.lit(97)).cast("double").alias("total"))
+    return R.blend_scores(rows, 0.1).select("doc_id", F.round("blended", 6).alias("blended"))
+
+
 def json_result(spark, sf_dir):
     """Regions of the five best documents of each task as JSON."""
     best = bm25_top10(spark, sf_dir).where("rank <= 5")
@@ -329,7 +372,7 @@ NAMES = [
     tokenize_documents, stem_vocabulary, term_frequency, doc_length_stats, bm25_scores, bm25_top10, lexical_normalized, partial_name_score, exact_key_join, symbol_signal,
     path_signal, suffix_match, proximity_signal, weighted_total_topk, best_edge_per_pair, one_hop_neighbors, expansion_capped, dedupe_first_by_rank, chunk_id_hash, distinct_lines,
     region_merge, event_regions, coverage, cover_match, recall_precision, macro_micro, paired_difference, character_shares, spread_min_mean_max, supports_closure,
-    threshold_sweep, redact_tokens, classify_path, text_windows, html_regions, retrieve, json_result,
+    threshold_sweep, redact_tokens, classify_path, source_chunks, import_graph, graph_neighbors, judgment_problems, blended_scores, text_windows, html_regions, retrieve, json_result,
 ]
 
 
