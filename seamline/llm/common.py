@@ -3,18 +3,14 @@
 from __future__ import annotations
 
 import string
-import sys
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Workers need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules["seamline"])
+from seamline.lineage import cut as cut
 
 #: Most keys a broadcast side may have: 16 MB of longs.
 BROADCAST_KEYS = 2_000_000
@@ -36,14 +32,6 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared checkpoint folder, which is set here only where the session has none."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def semi(df: DataFrame, keys: DataFrame, on: list[str], how: str, n_keys: int) -> DataFrame:
     """left_semi or left_anti join; the key side is broadcast only when its counted size is small."""
     return df.join(F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys, on, how)
