@@ -23,6 +23,8 @@ from seamline.llm.common import blocks, text_buffer
 #: Word bytes of lower-cased UTF-8: digits, a-z, and all of a non-ASCII character.
 WORD, GAP = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]+"
 IS_WORD = np.array([bool(re.match(WORD, bytes([b]))) for b in range(256)])
+#: Bytes of text whose kept detections are looked through together.
+STRETCH = 256
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -136,9 +138,12 @@ def detections(low: bytes) -> list[tuple[str, int, int, float]]:
     flat = re.sub(GAP, b" ", low)
     found = [(r.priority, m.start() - m.end(), r.label, m.start(), m.end(), r.confidence) for r in rules() if r.keyword in flat for m in r.pattern.finditer(low)]
     kept: list[tuple[str, int, int, float]] = []
+    over: dict[int, list[tuple[int, int]]] = {}  # kept intervals by the stretches of text they touch
     for _, _, label, start, end, confidence in sorted(found):
-        if not any(s <= start and end <= e for _, s, e, _ in kept):
+        if not any(s <= start and end <= e for s, e in over.get(start // STRETCH, ())):
             kept.append((label, start, end, confidence))
+            for k in range(start // STRETCH, (end - 1) // STRETCH + 1):
+                over.setdefault(k, []).append((start, end))
     return sorted(kept, key=lambda d: d[1:3])
 
 
