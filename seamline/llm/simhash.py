@@ -29,6 +29,11 @@ BUCKET = 4096
 #: A key costs about as much as this many comparisons.
 KEY_COST = 300
 SAMPLE = 4096
+#: near_dedup links texts whose sets of shingles of so many words are 4/5 similar; op4 has WORDS and RADIUS.
+COPY_WORDS = 5
+#: Hash classes whose parities are a set's sketch, and its columns.
+SKETCH = 256
+SKETCHES = [f"s{j}" for j in range(SKETCH // 64)]
 #: Bytes 0..255 as eight byte-wide counters, lowest bit first.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(256, 8).copy().view(np.uint64).ravel()
 
@@ -282,9 +287,157 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# near copies by exact similarity: the stage of the pipeline
+
+
+def _sets(rows: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
+    """Of each text of `rows` (doc_id, text_key, text) its set of COPY_WORDS shingles: node (hash of the
+    set) and size; `whole`: all hashes; else a sketch of four longs and the keys under which any set
+    within a similarity of 0.8 is met.
+
+    Sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of either under any
+    common order. The order puts `common` shingles last, which affects speed, never results.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    shared = rows.sparkSession.sparkContext.broadcast(common)
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(2))
+            nodes, sizes, kept = [], [], []
+            sketch = np.zeros((batch.num_rows, SKETCH // 64), np.uint64)
+            for i in range(batch.num_rows):
+                h = np.unique(np.array(shingle_hashes(data[offsets[i] : offsets[i + 1]].tobytes().lower(), COPY_WORDS), np.uint64))
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sizes.append(len(h))
+                if not whole:
+                    odd = np.bincount((h & np.uint64(SKETCH - 1)).astype(np.intp), minlength=SKETCH) & 1
+                    sketch[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                    if len(late):
+                        h = h[np.argsort(late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h, kind="stable")]
+                    h = h[: len(h) - (4 * len(h) + 4) // 5 + 1]
+                kept.append(h)
+            columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64))]
+            columns += [] if whole else [pa.array(np.ascontiguousarray(sketch[:, j]).view(np.int64)) for j in range(SKETCH // 64)]
+            yield pa.RecordBatch.from_arrays([*columns, lists(kept)], names)
+
+    names = ["doc_id", "text_key", "node", "size", *([] if whole else SKETCHES), "hashes"]
+    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:-1]) + ", hashes array<long>")
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Rows of long columns, sorted by the first, in pieces that end where its value changes."""
+    kept: list[np.ndarray] = []
+    for batch in batches:
+        kept.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+        if sum(map(len, kept)) >= 4 * BUCKET:
+            rows = np.concatenate(kept)
+            end = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
+            kept = [rows[end:]]
+            if end:
+                yield rows[:end]
+    if sum(map(len, kept)):
+        yield np.concatenate(kept)
+
+
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node) of keys whose nodes differ in their labels; rows are key, label, node, sorted by all."""
+    for rows in _whole_runs(batches):
+        rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
+        starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        sizes = np.diff(np.append(starts, len(rows)))
+        rows = rows[np.repeat(rows[starts, 1] != rows[starts + sizes - 1, 1], sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2])], ["key", "node"])
+
+
+def _candidates(first: bool):
+    """Pairs under one key that may be within a similarity of 0.8 and have different labels; `first`: for each
+    node one pair. Rows are key, size, node, label, sketch, sorted by key and size.
+
+    Sets of a and b shingles that reach it differ in at most (a + b) / 9 shingles, and parities of
+    hash classes differ in no more places, so no pair that reaches it is left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_runs(batches):
+            key, size, node, label = (np.ascontiguousarray(rows[:, j]) for j in range(4))
+            bits = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
+            found, has, d = [np.zeros((0, 2), np.int64)], np.zeros(len(rows), bool), 1
+            stays = np.arange(len(rows) - 1)
+            while len(stays):
+                stays = stays[(key[stays] == key[stays + d]) & (5 * size[stays] >= 4 * size[stays + d])]
+                i = stays[label[stays] != label[stays + d]]
+                i = i[~has[i + d]] if first else i
+                off = np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1, dtype=np.int64)
+                i = i[9 * off <= size[i] + size[i + d]]
+                has[i + d] = True
+                found.append(np.sort(np.stack([node[i], node[i + d]], axis=1), axis=1))
+                d += 1
+                stays = stays[stays + d < len(rows)]
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of a similarity of 0.8 at least."""
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    keys = cut(semi(prints, nodes, ["node"], "left_semi", nodes.count()).groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key").distinct())
+    some = semi(rows, keys, ["text_key"], "left_semi", keys.count()).select("doc_id", "text_key", "text")
+    sets = cut(_sets(some, np.zeros(0, np.uint64), True).select("node", "hashes").dropDuplicates(["node"]))
+    a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
+    # 0.8 as a fraction: shared / (x + y - shared) >= 4 / 5
+    return cut(pairs.join(a, "a").join(b, "b").where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text), component_id (smallest doc_id reachable) of every row,
+    where texts link whose sets of COPY_WORDS shingles have a Jaccard similarity of at least 0.8.
+
+    All such pairs link: keys by the prefix filter, candidates by size and sketch (both lose none),
+    then the sets themselves. A first round compares one candidate a node, a second one all that are
+    not joined by then, so a large group of near copies takes about as many comparisons as it has rows.
+    Null texts and texts without words are one group; a text of fewer words is one shingle.
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
+    sample = hash_sample(rows, "text_key", SAMPLE // 2, rows.count(), "near")
+    said = _sets(sample, np.zeros(0, np.uint64), True).select("node", F.explode("hashes").alias("h"))
+    often = said.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    common = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
+    prints = cut(_sets(rows, common, False))
+    keyed = prints.select(F.explode("hashes").alias("key"), F.col("node").alias("label"), "node")
+
+    def met_by(rows: DataFrame) -> DataFrame:
+        return cut(rows.select("key", "label", "node").repartition("key").sortWithinPartitions("key", "label", "node").mapInArrow(_shared_keys, "key long, node long"))
+
+    met = met_by(keyed)
+    members = met.select("node").distinct()
+    known = cut(prints.select("node", "size", *SKETCHES).join(members, "node", "left_semi").dropDuplicates(["node"]))
+
+    def round_of(keys: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
+        named = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        dealt = keys.join(named, "node").select("key", "size", "node", "label", *SKETCHES).repartition("key").sortWithinPartitions("key", "size")
+        return _similar(cut(dealt.mapInArrow(_candidates(first), "a long, b long").distinct()), rows, prints)
+
+    # most near copies meet under some of an eighth of the keys; the second round has all keys
+    edges = round_of(met.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0), known.select("node", F.col("node").alias("label")), True)
+    labels = components(edges)
+    left = met_by(met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    edges = edges.unionByName(round_of(left, labels, False))
+    named = prints.select("doc_id", "text_key", "node").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(heads, "label").select("doc_id", "text_key", "component_id")
+
+
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` without near copies: of each component the row with the smallest
-    doc_id stays (all rows that repeat that id do); rows with a null id stay."""
-    groups = near_groups(docs, doc_id, text)
+    """The rows of `docs` without near copies, by similar_groups: of each component the row with the
+    smallest doc_id stays (all rows that repeat that id do); rows with a null id stay."""
+    groups = similar_groups(docs, doc_id, text)
     drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
     return semi(docs, drop, [doc_id], "left_anti", drop.count())

@@ -161,6 +161,32 @@ def test_links_through_full_buckets(spark, monkeypatch):
     assert {p: got.get(p, p) for p in prints} == components({p: p for p in prints})
 
 
+def test_near_dedup_equals_brute_force_jaccard(spark, docs):
+    rng = np.random.default_rng(5)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for k in range(150):  # near copies around the threshold
+        w = [f"v{int(x)}" for x in rng.integers(0, 500, 5 + k)] if k % 3 == 0 else w[:]
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(len(w)))] = f"e{k}"
+        texts[100_000 + k] = " ".join(w)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in texts.items()}
+    label = {i: i for i in sets}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(sets)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    got = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == {find(i) for i in ids}
+
+
 def test_allocation():
     flat = [[1.0, 9.0, 99.0]] * 3
     assert simhash.allocate(flat) == (3.0, [0, 0, 0])
