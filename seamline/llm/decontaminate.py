@@ -7,9 +7,9 @@ most RADIUS bits differ in at most BLOCK_RADIUS bits of one block, so tables fro
 to the items near them find all items within RADIUS. Every candidate is then verified by exact
 weighted-shingle similarity (multiset Jaccard) of the best nearby stretch of the document.
 
-A copy that differs may lie between the grid's windows, or its fingerprint beyond RADIUS. So where
-a text has a shingle of an item, all windows over it are fingerprinted as well, and compared with
-that item within WIDE_RADIUS. A stretch that reaches the similarity has such shingles.
+A copy that differs may lie between the grid's windows, or its fingerprint beyond RADIUS. So every
+place of a text with enough shingles of an item is verified as well. A stretch that reaches the
+similarity has 0.8 of the item's shingles within 1.25 of its size, so none is missed.
 """
 
 from __future__ import annotations
@@ -32,8 +32,6 @@ WORDS, SIMILARITY, SEED = 5, 0.8, 42
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 #: Largest distance that the blocks guarantee.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Distance within which windows over an item's own shingles are verified.
-WIDE_RADIUS = 23
 #: Window sizes of one class differ by at most this factor; starts are this share of a window apart.
 SIZE_STEP, STRIDE_SHARE = 1.08, 8
 #: Bytes of text searched at once, so that counters stay in cache.
@@ -65,7 +63,7 @@ class SizeClass:
         self.items, self.prints = np.array(items), prints
         self.size = (min(sizes) + max(sizes)) // 2
         self.stride = max(1, self.size // STRIDE_SHARE)
-        self.slack = self.stride + max(sizes) - min(sizes) + 2
+        self.slack = self.stride + max(sizes) // 4 + max(sizes) - min(sizes) + 2
         self.tables = []
         for b in range(BLOCKS):
             near = ((prints >> np.uint64(BLOCK_BITS * b)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)[:, None] ^ FLIPS
@@ -101,7 +99,7 @@ class Index:
                 self.ids.append(item_id)
                 self.bags.append(Counter(got))
                 hashes.append(got)
-        sizes = [len(h) for h in hashes]
+        self.sizes = sizes = [len(h) for h in hashes]
         prints = majority(np.array(list(itertools.chain.from_iterable(hashes)), np.uint64), np.array(sizes, np.int64))
         self.classes, group = [], []
         for i in [*sorted(range(len(sizes)), key=lambda i: (sizes[i], i)), None]:
@@ -110,12 +108,10 @@ class Index:
                 group = []
             if i is not None:
                 group.append(i)
-        self.prints = prints
         self.holders: dict[int, list[int]] = {}
         for i, bag in enumerate(self.bags):
             for h in bag:
                 self.holders.setdefault(h, []).append(i)
-        self.class_of = {i: k for k, c in enumerate(self.classes) for i in c.items.tolist()}
         self.marks = np.zeros(1 << 20, bool)  # low bits of all shingles
         self.marks[np.array(list(self.holders), np.uint64) & np.uint64((1 << 20) - 1)] = True
 
@@ -140,11 +136,13 @@ class Index:
                 whole = majority(np.concatenate([hashes[a : a + n] for a, n in zip(at, counts[short], strict=True)]), counts[short])
                 windows, items = c.near(whole)
                 found.update((k, s, i) for s, i in zip(at[windows].tolist(), c.items[items].tolist(), strict=True))
-        found.update(self._around_shingles(hashes, lanes, place, left))
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for k, s, i in sorted(found):
+        spans = set(self._around_shingles(hashes, ends))
+        for k, s, i in found:
             c, text = self.classes[k], int(np.searchsorted(ends, s, "right"))
-            lo, hi = max(int(ends[text] - counts[text]), s - c.slack), min(int(ends[text]), s + c.size + c.slack)
+            spans.add((max(int(ends[text] - counts[text]), s - c.slack), min(int(ends[text]), s + c.size + c.slack), i))
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for lo, hi, i in sorted(spans):
+            text = int(np.searchsorted(ends, lo, "right"))
             similarity, at = self._verify(hashes[lo:hi].tolist(), i)
             if similarity >= SIMILARITY:
                 key = (text, i)
@@ -153,27 +151,30 @@ class Index:
         for (text, i), (similarity, at) in sorted(best.items()):
             yield text, self.ids[i], similarity, -at
 
-    def _around_shingles(self, hashes: np.ndarray, lanes: np.ndarray, place: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(class, start, item) of the nearest windows over the shingles of each item."""
+    def _around_shingles(self, hashes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(from, to, item) of all places of the texts that have enough shingles of an item: a stretch
+        that reaches SIMILARITY has that share of them and is at most 1 / SIMILARITY as long."""
         near = np.flatnonzero(self.marks[hashes & np.uint64((1 << 20) - 1)])
         at: dict[int, list[int]] = {}
         for p, h in zip(near.tolist(), hashes[near].tolist(), strict=True):
             for i in self.holders.get(h, ()):
                 at.setdefault(i, []).append(p)
         for i, places in at.items():
-            k = self.class_of[i]
-            size = self.classes[k].size
-            starts = np.unique((np.array(places)[:, None] - np.arange(size)).ravel())
-            starts = starts[starts >= 0]
-            starts = starts[(left[starts] >= size)]
-            if not len(starts):
+            need, longest = self._bounds(i)
+            if len(places) < need:
                 continue
-            off = np.bitwise_count(self._prints(hashes, lanes, starts, size) ^ self.prints[i]).astype(np.int64)
-            runs = np.cumsum(np.diff(starts, prepend=starts[0]) > 1)
-            order = np.lexsort((starts, off, runs))
-            first = order[np.unique(runs[order], return_index=True)[1]]
-            for j in first[off[first] <= WIDE_RADIUS].tolist():
-                yield k, int(starts[j]), i
+            p = np.array(places)
+            to = np.minimum(p + longest, ends[np.searchsorted(ends, p, "right")])
+            dense = np.flatnonzero(p[need - 1 :] < to[: len(p) - need + 1])
+            if len(dense):
+                new = np.flatnonzero(np.concatenate(([True], p[dense[1:]] >= to[dense[:-1]])))
+                for a, b in zip(dense[new].tolist(), dense[np.append(new[1:], len(dense)) - 1].tolist(), strict=True):
+                    yield int(p[a]), int(to[b]), i
+
+    def _bounds(self, item: int) -> tuple[int, int]:
+        """Fewest shingles of an item, and most shingles in all, of a stretch that reaches SIMILARITY."""
+        size = self.sizes[item]
+        return math.ceil(SIMILARITY * size - 1e-9), int(size / SIMILARITY + 1e-9)
 
     def _prints(self, hashes: np.ndarray, lanes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
         if size > 127:  # too many for byte-wide counters
@@ -190,22 +191,25 @@ class Index:
         return np.ascontiguousarray((sums >> np.uint64(56)).astype(np.uint8)).view(np.uint64).ravel()
 
     def _verify(self, near: list[int], item: int) -> tuple[float, int]:
-        """Best similarity of a stretch of the shingles near a candidate, and its place: every stretch
-        from the start of one run of the item's shingles to the end of another, and of the item's size."""
-        bag = self.bags[item]
-        size = sum(bag.values())
+        """Best similarity of a stretch of the shingles near a candidate, and its place: of every stretch
+        from one of the item's shingles to another, as a longer or shorter one is less similar."""
+        bag, size = self.bags[item], self.sizes[item]
+        need, longest = self._bounds(item)
         hits = [j for j, h in enumerate(near) if h in bag]
-        if len(hits) < SIMILARITY * size:
-            return 0.0, 0
-        heads = [j for j in hits if j == 0 or near[j - 1] not in bag]
-        tails = [j + 1 for j in hits if j + 1 == len(near) or near[j + 1] not in bag]
-        spans = {(a, b) for a in heads for b in tails if a < b} | {(j, min(j + size, len(near))) for j in range(max(1, len(near) - size + 1))}
-        scored = []
-        for a, b in spans:
-            both = sum((Counter(near[a:b]) & bag).values())
-            scored.append((both / (b - a + size - both), -a))
-        similarity, at = max(scored)
-        return similarity, -at
+        best = (0.0, 0)
+        for n in range(len(hits) - need + 1):
+            a, seen, both = hits[n], {}, 0
+            if hits[n + need - 1] >= a + longest:
+                continue
+            for j in itertools.islice(hits, n, None):
+                if j >= a + longest:
+                    break
+                h = near[j]
+                seen[h] = seen.get(h, 0) + 1
+                if seen[h] <= bag[h]:
+                    both += 1
+                    best = max(best, (both / (j + 1 - a + size - both), -a))
+        return best[0], -best[1]
 
 
 def item_passes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Index]:

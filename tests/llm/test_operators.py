@@ -341,6 +341,18 @@ def test_decontamination_odd_rows(odd, empty, spark):
     assert decontaminate.find_items(odd, bench.where("1 = 0")).count() == 0
 
 
+@pytest.mark.parametrize("size", [100, 200, 300])
+def test_long_items_at_the_threshold(size):
+    item = [f"i{j}" for j in range(size + 4)]
+    index = decontaminate.Index([(1, " ".join(item)), (2, " ".join(f"k{j}" for j in range(size + 9)))])
+    more = size // 4 - 9  # words put in: the stretch is longer by these, and holds all shingles but four
+    for at in range(size // 3, 2 * size // 3, 7):
+        text = [f"x{j}" for j in range(91)] + item[:at] + [f"y{j}" for j in range(more)] + item[at:] + [f"z{j}" for j in range(83)]
+        hashes = np.array(decontaminate.shingles(" ".join(text).encode()), np.uint64)
+        (got,) = index.search(hashes, np.array([len(hashes)]))
+        assert got == (0, 1, (size - 4) / (size + more + 4), 91)
+
+
 def test_near_finds_all_within_radius():
     rng = np.random.default_rng(4)
     prints = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
