@@ -124,8 +124,8 @@ def keyword(words: str) -> bytes:
     return max((r.strip() for r in runs), key=len).encode()
 
 
-#: No rule or phrase matches a text without one of these.
-GATES = [b"licen", b"spdx", b"cc", b"creative", b"gpl", b"gfdl", b"mpl", b"epl", b"eupl", b"cddl", b"odbl", b"wtfpl", b"domain", b"reserved", b"copyright", b"proprietary", b"no part of", b"hereby granted", b"redistribution", b"permission to use"]
+#: No rule or phrase matches a text without one of these; single words, as any gap may lie between two.
+GATES = [b"licen", b"spdx", b"cc", b"creative", b"gpl", b"gfdl", b"mpl", b"epl", b"eupl", b"cddl", b"odbl", b"wtfpl", b"domain", b"reserved", b"copyright", b"proprietary", b"part", b"granted", b"redistribution", b"permission"]
 
 
 @cache

@@ -450,6 +450,13 @@ def test_license_rules():
         assert r.keyword
 
 
+@pytest.mark.parametrize("notice", ["no part of this publication may be reproduced", "permission is hereby granted, free of charge", "permission to use, copy, modify and distribute"])
+def test_license_notices_in_wrapped_text(notice):
+    want = license_scan.scan_text(notice.encode(), np.array([0]))[4:]
+    for gap in ("\n", "  ", "\n * ", "\n# "):
+        assert license_scan.scan_text(notice.replace(" ", gap).encode(), np.array([0]))[4:] == want
+
+
 def test_license_odd_rows(odd, empty):
     rows = license_scan.scan(odd).collect()
     assert len(rows) == len(ODD) and max(r.n_words for r in rows) == 60_000
