@@ -437,7 +437,9 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` without near copies, by similar_groups: of each component the row with the
-    smallest doc_id stays (all rows that repeat that id do); rows with a null id stay."""
+    smallest doc_id stays (all its rows that repeat that id do); rows with a null id stay. Rows that
+    repeat an id with other texts are decided each by its own text."""
     groups = similar_groups(docs, doc_id, text)
-    drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    return semi(docs, drop, [doc_id], "left_anti", drop.count())
+    drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).distinct())
+    same = (docs[doc_id] == F.col("drop_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("drop_key"))
+    return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop, same, "left_anti")

@@ -187,6 +187,12 @@ def test_near_dedup_equals_brute_force_jaccard(spark, docs):
     assert {r.doc_id for r in got.collect()} == {find(i) for i in ids}
 
 
+def test_near_dedup_decides_by_row(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = simhash.near_dedup(spark.createDataFrame([(1, a), (2, a + " more"), (2, b), (None, a)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, a), (1, a), (2, b)]
+
+
 def test_allocation():
     flat = [[1.0, 9.0, 99.0]] * 3
     assert simhash.allocate(flat) == (3.0, [0, 0, 0])
