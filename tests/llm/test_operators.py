@@ -161,14 +161,8 @@ def test_links_through_full_buckets(spark, monkeypatch):
     assert {p: got.get(p, p) for p in prints} == components({p: p for p in prints})
 
 
-def test_near_dedup_equals_brute_force_jaccard(spark, docs):
-    rng = np.random.default_rng(5)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for k in range(150):  # near copies around the threshold
-        w = [f"v{int(x)}" for x in rng.integers(0, 500, 5 + k)] if k % 3 == 0 else w[:]
-        for _ in range(int(rng.integers(0, 3))):
-            w[int(rng.integers(len(w)))] = f"e{k}"
-        texts[100_000 + k] = " ".join(w)
+def similar_heads(texts):
+    """Smallest id of each id's component, where sets of five-word shingles with a Jaccard similarity of 0.8 link."""
     sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in texts.items()}
     label = {i: i for i in sets}
 
@@ -183,8 +177,38 @@ def test_near_dedup_equals_brute_force_jaccard(spark, docs):
             if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
                 x, y = sorted((find(a), find(b)))
                 label[y] = x
+    return {i: find(i) for i in ids}
+
+
+def near_copies(n):
+    """Texts around the threshold: each third one is new, the others change up to two words of the one before."""
+    rng, out, w = np.random.default_rng(5), {}, []
+    for k in range(n):
+        w = [f"v{int(x)}" for x in rng.integers(0, 500, 5 + k)] if k % 3 == 0 else w[:]
+        for _ in range(int(rng.integers(0, 3))):
+            w[int(rng.integers(len(w)))] = f"e{k}"
+        out[100_000 + k] = " ".join(w)
+    return out
+
+
+def test_near_dedup_equals_brute_force_jaccard(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.collect()} | near_copies(150)
     got = simhash.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
-    assert {r.doc_id for r in got.collect()} == {find(i) for i in ids}
+    assert {r.doc_id for r in got.collect()} == set(similar_heads(texts).values())
+
+
+def test_near_dedup_of_frequent_keys(spark, monkeypatch):
+    """Keys of more nodes than fit a bucket are split, frequent ones are dealt at once, and no link is lost."""
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    monkeypatch.setattr(simhash, "HOT", 8)
+    base = [f"b{i}" for i in range(60)]
+    texts = dict(enumerate(near_copies(40).values()))
+    for k in range(120):  # one large group of near copies, and texts that share a passage with it
+        w = base[:]
+        w[k % 60] = f"n{k}"
+        texts[1000 + k] = " ".join(w if k % 2 else [f"o{k}{i}" for i in range(90)] + base[:20])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == similar_heads(texts)
 
 
 def test_near_dedup_decides_by_row(spark):
@@ -525,8 +549,7 @@ def test_pipeline_stages(spark):
             con.register("d", docs.toPandas())
             assert len(rows) == con.execute("SELECT count(DISTINCT translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) FROM d").fetchone()[0]
         if name == "simhash_dedup":
-            prints = {r.doc_id: fingerprint(r.text) for r in left}
-            assert {r.doc_id for r in rows} == set(components(prints).values())
+            assert {r.doc_id for r in rows} == set(similar_heads({r.doc_id: r.text for r in left}).values())
         if name == "decontamination":
             items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             held = {r.doc_id for r in left if any(" ".join(words(x)) in " ".join(words(r.text)) for x in items)}
