@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import string
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast that workers read with shared(). Spark's own pickling names classes by module; here
+    they travel by value, so that workers need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(value: Broadcast) -> Any:
+    """What share() was given, loaded once in each worker."""
+    if not hasattr(value, "loaded"):
+        value.loaded = pickle.loads(value.value)
+    return value.loaded
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)

@@ -22,7 +22,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import blocks, crc_fold, hash_sample, text_buffer
+from seamline.llm.common import blocks, crc_fold, hash_sample, share, shared, text_buffer
 
 #: Labelled documents a class that the fit reads at most; half train the dictionaries, half calibrate.
 FIT_DOCS = 2000
@@ -205,12 +205,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int | None = None,
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and toxicity score of every row; null counts as empty, and an empty text has no hits."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id and toxicity score of every row; null counts as empty, and an empty text has no hits.
+
+    A text of any length is read whole, a word at a time. Rows that repeat an id are scored each by
+    its own text; an empty table gives no rows. Other columns are not read.
+    """
+    sent = share(docs.sparkSession, model)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared(sent)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             out = []
@@ -224,14 +228,15 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.7) -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores below `reject`; null texts stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """The rows of `docs`, all columns, whose text scores below `reject`; null texts stay, and each
+    row is decided by its own text."""
+    sent = share(docs.sparkSession, model)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(place))
-            keep = [shared.value.score(data[s:e].tobytes()) < reject for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            keep = [shared(sent).score(data[s:e].tobytes()) < reject for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
