@@ -58,15 +58,17 @@ def poisson_mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
         lambda acc, k: F.struct((acc["p"] * F.col("mean") / k).alias("p"), (acc["c"] + acc["p"] * F.col("mean") / k).alias("c"), F.concat(acc["all"], F.array(acc["c"] + acc["p"] * F.col("mean") / k)).alias("all")),
         lambda acc: acc["all"],
     )
-    rates = rates.select(F.col("source").alias("_source"), F.col("draws").alias("_draws"), cdf.alias("_cdf"))
+    rates = rates.select("source", "draws", cdf.alias("cdf"))
     if rates.count() <= BROADCAST_KEYS // (TERMS + 1):
         rates = F.broadcast(rates)
-    base = docs.drop("copy", "shuffle_key")
-    joined = base.join(rates, base[source].eqNullSafe(rates["_source"]))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    # a row travels as one struct, so no name of its columns can clash
+    named = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    base = docs.select(F.struct(*(F.col(f"`{c}`") for c in named)).alias("row"), F.coalesce(docs[f"`{doc_id}`"].cast("string"), F.lit("null")).alias("key"), docs[f"`{source}`"].alias("of"))
+    joined = base.join(rates, F.col("of").eqNullSafe(F.col("source")))
     # a draw is the number of cumulative terms at or below its uniform number
-    drawn = F.transform(F.sequence(F.lit(1), F.col("_draws")), lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(seed, key, j.cast("string")))))
-    copies = joined.withColumn("_n", F.aggregate(drawn, F.lit(0), lambda a, x: a + x)).where("_n > 0")
-    spread = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = spread.withColumn("shuffle_key", uniform(seed + 1, key, F.col("copy").cast("string"))).drop("_source", "_draws", "_cdf", "_n")
-    return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", doc_id)
+    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda j: uniform(seed, F.col("key"), j.cast("string")))
+    n = F.aggregate("numbers", F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda c: c <= u)))
+    copies = joined.select("row", "key", "cdf", numbers.alias("numbers")).select("row", "key", n.alias("n")).where("n > 0")
+    spread = copies.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    keyed = spread.select("row.*", "copy", uniform(seed + 1, F.col("key"), F.col("copy").cast("string")).alias("shuffle_key"))
+    return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key", f"`{doc_id}`")
