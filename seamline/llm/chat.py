@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Strings with a meaning in chat templates; a backslash after the first character breaks them inside texts.
 CONTROL = ["<|", "</s>", "<s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"]
-TURN = r"(?s)<\|im_start\|>((?:[^\\\n]|\\.)*)\n(.*?)<\|im_end\|>\n"
+#: A turn: the role up to the first newline that no backslash protects, then the text. The role's
+#: repetitions are possessive, which Java matches in a loop; others take stack for each character.
+TURN = r"(?s)<\|im_start\|>((?:[^\\\n]++|\\.)*+)\n(.*?)<\|im_end\|>\n"
 
 
 def escape(text: Column) -> Column:
