@@ -3,8 +3,9 @@
 For each language, a tree of byte contexts of order 0 to ORDER holds symbol counts from a bounded
 sample. A symbol's code length in a context is -log2(c / (n + q)) where it was seen (n symbols, q
 distinct ones), else the escape's -log2(q / (n + q)) plus its length in the next shorter context,
-down to equal shares of the alphabet. Statistics are frozen after training, so code lengths of all
-(context, symbol) pairs are worked out once, and a text's exact code length is a sum of lookups.
+down to equal shares of the alphabet. Statistics are frozen after training and none is pruned, so
+a text's exact code length is a sum over its (context, symbol) pairs; the lengths of the distinct
+pairs of a block of texts are worked out once.
 """
 
 from __future__ import annotations
@@ -16,13 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import blocks, crc_fold, hash_sample, text_buffer
+from seamline.llm.common import blocks, crc_fold, share, shared, text_buffer
 
-#: Documents a language that the fit reads at most.
-FIT_DOCS = 400
-ORDER, LEAST_COUNT = 3, 16
-#: Bound of the broadcast model: (context, symbol, language) cells, four bytes each.
-MOST_CELLS = 6_000_000
+#: The fit's sample: about so many documents a language at most, none of more characters than FIT_CHARS.
+FIT_DOCS, FIT_CHARS = 400, 100_000
+ORDER = 3
 UNKNOWN = "und"
 #: A-Z to a-z, digits to one digit, white space to one blank; other bytes stay.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -33,90 +32,84 @@ IS_LETTER = np.zeros(256, bool)
 IS_LETTER[97:123] = True
 
 
+class Tree:
+    """One language's contexts and (context, symbol) pairs of each order, sorted, with their code lengths."""
+
+    def __init__(self, symbols: np.ndarray, size: int) -> None:
+        self.size, self.orders = size, []
+        for k in range(ORDER + 1):
+            context = np.zeros(len(symbols) - ORDER, np.int64)
+            for j in range(k, 0, -1):
+                context = context * size + symbols[ORDER - j : len(symbols) - j]
+            pairs, c = np.unique(context * size + symbols[ORDER:], return_counts=True)
+            known, place, q = np.unique(pairs // size, return_inverse=True, return_counts=True)
+            n = np.bincount(place, c, len(known))
+            self.orders.append((known, np.log2((n + q) / q), pairs, np.log2((n + q)[place] / c)))
+
+    def lengths(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of each symbol after its context of ORDER symbols."""
+        out, left = np.zeros(len(context)), np.arange(len(context))
+        for k in range(ORDER, -1, -1):
+            known, escape, pairs, bits = self.orders[k]
+            if not len(known):
+                continue
+            here = context[left] % self.size**k
+            code = here * self.size + symbol[left]
+            at = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+            seen = pairs[at] == code
+            out[left[seen]] += bits[at[seen]]
+            left, here = left[~seen], here[~seen]
+            at = np.minimum(np.searchsorted(known, here), len(known) - 1)
+            out[left] += np.where(known[at] == here, escape[at], 0.0)
+        out[left] += np.log2(self.size)
+        return out
+
+
 class Model:
-    """Languages, byte classes, the deepest known context of each class triple, and code lengths."""
+    """Languages, byte classes and a context tree a language."""
 
     def __init__(self, samples: dict[str, list[str]]) -> None:
         self.langs = sorted(samples)
         streams = {lang: np.concatenate([FOLD[np.frombuffer((" " * ORDER + t).encode("utf-8", "replace"), np.uint8)] for t in texts]) for lang, texts in samples.items()}
-        used = np.unique(np.concatenate([*streams.values(), np.frombuffer(b" ", np.uint8)])) if streams else np.array([32], np.uint8)
-        self.classes = np.zeros(256, np.uint8)  # class 0: bytes not seen in training
+        used = np.unique(np.concatenate([*streams.values(), np.frombuffer(b" ", np.uint8)]))
+        self.classes = np.zeros(256, np.int64)  # class 0: bytes not seen in training
         self.classes[used] = np.arange(1, len(used) + 1)
-        self.size = a = len(used) + 1
-        symbols = {lang: self.classes[s].astype(np.int64) for lang, s in streams.items()}
-        contexts = self._contexts(symbols)
-        self.states, self.bits = self._lengths(symbols, contexts)
-        self.cells = self.bits.reshape(-1, max(1, len(self.langs))) if self.langs else np.zeros((a, 1), np.float32)
-
-    def _codes(self, s: np.ndarray, k: int) -> np.ndarray:
-        """The k symbols before each place from ORDER on, as one number."""
-        code = np.zeros(len(s) - ORDER, np.int64)
-        for j in range(k, 0, -1):
-            code = code * self.size + s[ORDER - j : len(s) - j]
-        return code
-
-    def _contexts(self, symbols: dict[str, np.ndarray]) -> list[np.ndarray]:
-        """Known contexts of each order: frequent ones, the most frequent within the bound."""
-        found = []
-        for k in range(1, ORDER + 1):
-            codes, counts = np.unique(np.concatenate([self._codes(s, k) for s in symbols.values()]), return_counts=True) if symbols else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            found.append((codes[counts >= LEAST_COUNT], counts[counts >= LEAST_COUNT]))
-        most = max(1, MOST_CELLS // (self.size * max(1, len(self.langs))))
-        every = np.sort(np.concatenate([c for _, c in found]))[::-1]
-        least = every[most] + 1 if len(every) > most else 0  # a context's suffix is at least as frequent
-        return [codes[counts >= least] for codes, counts in found]
-
-    def _lengths(self, symbols: dict[str, np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        a, n_langs = self.size, max(1, len(self.langs))
-        first = np.cumsum([1, *map(len, contexts)])
-        bits = np.zeros((first[-1], a, n_langs), np.float32)
-        states = np.zeros(a**ORDER, np.int32)
-        parents = [np.zeros(len(contexts[0]), np.int64)]
-        for k in range(2, ORDER + 1):
-            parents.append(first[k - 2] + np.searchsorted(contexts[k - 2], contexts[k - 1] % a ** (k - 1)))
-        for k in range(1, ORDER + 1):
-            deepest = states.reshape(-1, a**k)
-            deepest[:, contexts[k - 1]] = first[k - 1] + np.arange(len(contexts[k - 1]))
-        for li, lang in enumerate(self.langs):
-            s = symbols[lang]
-            for k in range(ORDER + 1):
-                known = contexts[k - 1] if k else np.zeros(1, np.int64)
-                at = 0 if k == 0 else first[k - 1]
-                shorter = np.full((1, a), np.log2(a), np.float32) if k == 0 else bits[parents[k - 1], :, li]
-                pairs, counts = np.unique(self._codes(s, k) * a + s[ORDER:], return_counts=True)
-                place = np.searchsorted(known, pairs // a)
-                keep = (place < len(known)) & (known[np.minimum(place, max(0, len(known) - 1))] == pairs // a) if len(known) else np.zeros(len(pairs), bool)
-                place, symbol, counts = place[keep], (pairs % a)[keep], counts[keep].astype(np.float64)
-                n = np.bincount(place, counts, len(known))
-                q = np.bincount(place, minlength=len(known)).astype(np.float64)
-                escape = np.where(n > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(q, 1)), 0.0)
-                table = (shorter + escape[:, None]).astype(np.float32)
-                table[place, symbol] = np.log2(np.maximum(n + q, 1))[place] - np.log2(counts)
-                bits[at : at + len(known), :, li] = table
-        return states, bits
+        self.size = len(used) + 1
+        self.trees = [Tree(self.classes[streams[lang]], self.size) for lang in self.langs]
 
     def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text (row) under each language (column)."""
         out = np.zeros((len(offsets) - 1, max(1, len(self.langs))))
-        folded = FOLD[data]
-        x = self.classes[folded].astype(np.int32)
+        x = self.classes[FOLD[data]]
         blank, starts = int(self.classes[32]), offsets[:-1]
-        code = np.zeros(len(x), np.int32)
+        code = np.zeros(len(x), np.int64)
         for j in range(ORDER, 0, -1):
-            before = np.full(len(x), blank, np.int32)
+            before = np.full(len(x), blank, np.int64)
             before[j:] = x[:-j]
             for i in range(j):  # places whose j-th predecessor would be in another text
                 at = starts + i
                 before[at[at < len(x)]] = blank
             code = code * self.size + before
+        code = code * self.size + x
         full = np.flatnonzero(np.diff(offsets))
-        for at in range(0, len(x), 1 << 18):
-            to = min(len(x), at + (1 << 18))
-            lengths = self.cells[self.states[code[at:to]].astype(np.int64) * self.size + x[at:to]]
-            rows = full[(offsets[full + 1] > at) & (offsets[full] < to)]
-            out[rows] += np.add.reduceat(lengths.astype(np.float64), np.maximum(offsets[rows], at) - at, axis=0)
+        if len(full):
+            each, place = self._distinct(code)
+            for j, tree in enumerate(self.trees):
+                out[full, j] = np.add.reduceat(tree.lengths(each // self.size, each % self.size)[place], starts[full])
         return out
 
+    def _distinct(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct codes, and each code's place among them."""
+        most = self.size ** (ORDER + 1)
+        if most > 1 << 28:
+            return np.unique(code, return_inverse=True)
+        there = np.zeros(most, bool)
+        there[code] = True
+        each = np.flatnonzero(there)
+        place = np.empty(most, np.int32)  # only the places of codes that are there are written and read
+        place[each] = np.arange(len(each), dtype=np.int32)
+        return each, place[code]
+
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
@@ -128,16 +121,24 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def training_texts(docs: DataFrame, folds: int | None = None, held: int = 2, most: int = FIT_DOCS) -> dict[str, list[str]]:
-    """At most about `most` texts a language, chosen by a hash of the id; rows without text, lang
-    or id, and rows whose crc_fold() is `held`, are left out."""
+    """About `most` texts a language at most, chosen by a hash of id and text, none longer than
+    FIT_CHARS; rows without text, lang or id, and rows whose crc_fold() is `held`, are left out.
+
+    Languages are counted in one pass and texts chosen in another, however many languages there
+    are. An empty table gives no language.
+    """
     known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text", "lang")
     if folds:
         known = known.where(crc_fold(F.col("doc_id"), folds) != held)
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
+        return {}
+    share_of = F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, most / n)))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit("langid"), F.col("doc_id").cast("string"), F.lit(":"), F.xxhash64("text").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     out: dict[str, list[str]] = {}
-    for lang, n in sorted((r.lang, r["count"]) for r in known.groupBy("lang").count().collect()):
-        rows = hash_sample(known.where(F.col("lang") == lang), "doc_id", most, n, "langid").select("doc_id", "text").collect()
-        out[lang] = [r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
-    return {lang: texts for lang, texts in out.items() if texts}
+    for r in sorted(known.where((F.length("text") <= FIT_CHARS) & (u < share_of[F.col("lang")])).collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+        out.setdefault(r.lang, []).append(r.text)
+    return out
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -145,13 +146,15 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     score is the share of the predicted language when all are equally likely beforehand. A text
     that is null or has no letter, and any text when no language was learned, is `und` with
-    score 0. Ties go to the alphabetically first language. Other columns are not read.
+    score 0. Ties go to the alphabetically first language. A text of any length is read whole. Rows
+    that repeat an id are predicted each by its own text; an empty table gives no rows. Other
+    columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = share(docs.sparkSession, model)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared(sent)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             langs, scores = [], []
