@@ -1,11 +1,13 @@
 """Exact duplicates by a Golomb-coded fingerprint exchange.
 
-1. Every part of the input (a scan partition) sorts its distinct fingerprints and sends each owner
-   its range of them, Rice-coded as gaps.
+1. Every part of the input (some scan partitions) sorts its distinct fingerprints and sends each
+   owner its range of them, Rice-coded as gaps. Coding is done where the fingerprints are, so none
+   is shuffled plain.
 2. An owner decodes what all parts sent and answers every part with a bitmap over that part's own
    list: 1 where the fingerprint came more than once, within one part or from several.
-3. A part turns the bitmaps into suspect fingerprints. Only texts with a suspect fingerprint are
-   shuffled, grouped by the text itself, so bytes decide; rare false suspects end as groups of one.
+3. Bitmaps meet the lists that the parts have kept, and mark the suspect fingerprints. Only texts
+   with a suspect fingerprint are shuffled, grouped by the text itself, so bytes decide; rare false
+   suspects end as groups of one.
 
 Fingerprints take log2(rows) + 12 bits, so about one row in 4,096 is suspected wrongly.
 """
@@ -17,13 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamline.llm.common import ascii_lower, cut, semi
 
 EXTRA_BITS = 12
-ROWS_PER_OWNER = 1_000_000
+#: Fingerprints of an owner and of a part: a task holds about so many, 8 bytes each. Their ratio keeps
+#: messages at hundreds of fingerprints, however large the input.
+ROWS_PER_OWNER, ROWS_PER_PART = 4_000_000, 2_000_000
 LEAST_OWNERS = 16
 
 
@@ -51,20 +57,19 @@ def rice_parameter(n: int, span: int) -> int:
 
 
 def exchange(prints: DataFrame, rows: int, bits: int) -> DataFrame:
-    """Suspect fingerprints (column f) of `prints` (part, f), f in [0, 2**bits)."""
+    """Suspect fingerprints (column f) of the `rows` rows of `prints` (f), f in [0, 2**bits)."""
     owners = max(LEAST_OWNERS, math.ceil(rows / ROWS_PER_OWNER))
     span = -(-(1 << bits) // owners)
 
-    def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        own, seen = np.unique(pdf["f"].to_numpy(np.int64), return_counts=True)
-        owner = own // span
-        out = []
-        for o, at in zip(*np.unique(owner, return_index=True), strict=True):
-            to = int(np.searchsorted(owner, o, "right"))
-            mine = own[at:to] - o * span
-            k = rice_parameter(len(mine), span)
-            out.append((int(pdf["part"].iloc[0]), int(o), len(mine), k, rice_encode(np.diff(mine, prepend=0), k), np.packbits(seen[at:to] > 1).tobytes()))
-        return pd.DataFrame(out, columns=["part", "owner", "n", "k", "code", "twice"])
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = np.unique(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy(zero_copy_only=False) for b in batches)]), return_counts=True)
+        part, out = TaskContext.get().partitionId(), []
+        cuts = np.searchsorted(own, np.arange(owners + 1) * span)
+        for o in np.flatnonzero(np.diff(cuts)).tolist():
+            mine, k = own[cuts[o] : cuts[o + 1]] - o * span, rice_parameter(int(cuts[o + 1] - cuts[o]), span)
+            out.append((part, o, len(mine), k, rice_encode(np.diff(mine, prepend=0), k), np.packbits(seen[cuts[o] : cuts[o + 1]] > 1).tobytes()))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["part", "owner", "n", "k", "code", "twice"])
 
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [np.cumsum(rice_decode(c, n, k)).astype(np.int64) for c, n, k in zip(pdf["code"], pdf["n"], pdf["k"], strict=True)]
@@ -75,18 +80,19 @@ def exchange(prints: DataFrame, rows: int, bits: int) -> DataFrame:
         marks = np.split(more[place], np.cumsum([len(x) for x in lists])[:-1])
         return pd.DataFrame({"part": pdf["part"], "owner": pdf["owner"], "bitmap": [np.packbits(m).tobytes() for m in marks]})
 
-    def receive(mine: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        f = np.unique(mine["f"].to_numpy(np.int64))
-        owner = f // span
-        hits = [np.zeros(0, np.int64)]
-        for o, b in zip(replies["owner"], replies["bitmap"], strict=True):
-            at, to = np.searchsorted(owner, o), np.searchsorted(owner, o, "right")
-            hits.append(f[at:to][np.unpackbits(np.frombuffer(b, np.uint8), count=to - at).astype(bool)])
-        return pd.DataFrame({"f": np.concatenate(hits)})
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [np.zeros(0, np.int64)]
+            for owner, n, k, code, bitmap in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = owner * span + np.cumsum(rice_decode(code, n, k)).astype(np.int64)
+                hits.append(mine[np.unpackbits(np.frombuffer(bitmap, np.uint8), count=n).astype(bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hits))], ["f"])
 
-    sent = prints.groupBy("part").applyInPandas(send, "part int, owner long, n int, k int, code binary, twice binary")
+    parts = max(LEAST_OWNERS, math.ceil(rows / ROWS_PER_PART))
+    sent = cut(prints.select("f").coalesce(parts).mapInArrow(send, "part int, owner long, n int, k int, code binary, twice binary"))
     replies = sent.groupBy("owner").applyInPandas(own, "part int, owner long, bitmap binary")
-    return prints.groupBy("part").cogroup(replies.groupBy("part")).applyInPandas(receive, "f long").distinct()
+    answered = sent.join(replies, ["part", "owner"]).select("owner", "n", "k", "code", "bitmap")
+    return answered.mapInArrow(receive, "f long").distinct()
 
 
 def _shift(h: Column, bits: int) -> Column:
@@ -96,10 +102,10 @@ def _shift(h: Column, bits: int) -> Column:
 def _suspects(docs: DataFrame, text: str, keep: list[Column]) -> tuple[DataFrame, DataFrame, int, int]:
     """(narrow rows, suspect fingerprints, their count, fingerprint bits)."""
     norm = ascii_lower(F.col(text))
-    narrow = cut(docs.select(*keep, F.spark_partition_id().alias("part"), F.xxhash64(norm).alias("h"), F.sha2(norm.cast("binary"), 256).alias("sha")))
+    narrow = cut(docs.select(*keep, F.xxhash64(norm).alias("h"), F.sha2(norm.cast("binary"), 256).alias("sha")))
     rows = narrow.count()
     bits = min(62, max(1, rows.bit_length()) + EXTRA_BITS)
-    found = cut(exchange(narrow.select("part", _shift(F.col("h"), bits).alias("f")), rows, bits))
+    found = cut(exchange(narrow.select(_shift(F.col("h"), bits).alias("f")), rows, bits))
     return narrow, found, found.count(), bits
 
 
