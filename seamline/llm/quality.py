@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamline.llm.common import blocks, hash_sample, text_buffer
+from seamline.llm.common import blocks, hash_sample, share, shared, text_buffer
 
 #: Documents that train the scorer, at most.
 FIT_DOCS = 3000
@@ -135,12 +135,16 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
 
 
-def hashed(data: np.ndarray) -> np.ndarray:
-    """Bucket of the byte gram that starts at each place; the last GRAM - 1 places take what follows them."""
-    x = np.concatenate([data, np.zeros(GRAM - 1, np.uint8)]).astype(np.uint32)
-    code = x[: len(data)].copy()
+def hashed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bucket of the byte gram that starts at each place; what lies beyond a text's end counts as zeros."""
+    code = data.astype(np.uint32)
+    starts, ends = np.repeat(offsets[:-1], np.diff(offsets) > 0), np.repeat(offsets[1:], np.diff(offsets) > 0)
     for j in range(1, GRAM):
-        code = (code << np.uint32(8)) | x[j : len(data) + j]
+        after = np.zeros(len(data), np.uint32)
+        after[:-j] = data[j:]
+        for i in range(j):
+            after[np.maximum(ends - 1 - i, starts)[ends - 1 - i >= starts]] = 0
+        code = (code << np.uint32(8)) | after
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int32)
 
 
@@ -154,7 +158,7 @@ class Scorer:
         keep = [i for i, t in enumerate(texts) if t]
         if not keep:
             return self
-        each = [np.unique(hashed(np.frombuffer(texts[i], np.uint8)), return_counts=True) for i in keep]
+        each = [np.unique(hashed(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])])), return_counts=True) for i in keep]
         y, size = targets[keep], np.array([len(h) for h, _ in each])
         columns = np.concatenate([h for h, _ in each])
         values = np.concatenate([c / c.sum() for _, c in each])
@@ -175,7 +179,7 @@ class Scorer:
         z, size = np.zeros(len(offsets) - 1), np.diff(offsets)
         full = np.flatnonzero(size)
         if len(full):
-            z[full] = np.add.reduceat(self.weights[hashed(data)].astype(np.float64), offsets[full]) / size[full]
+            z[full] = np.add.reduceat(self.weights[hashed(data, offsets)].astype(np.float64), offsets[full]) / size[full]
         return 1 / (1 + np.exp(-np.clip(self.bias + z, -30, 30)))
 
 
@@ -213,11 +217,11 @@ def score(docs: DataFrame, label_model: LabelModel, scorer: Scorer, doc_id: str
     Null text counts as empty. Rows that repeat an id are scored by themselves; an empty table
     gives no rows. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((label_model, scorer))
+    sent = share(docs.sparkSession, (label_model, scorer))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, scorer = shared.value
+        labels, scorer = shared(sent)
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             weak, scores = [np.zeros(0)], [np.zeros(0)]
