@@ -1,4 +1,9 @@
-"""Markdown sections: nested, named by their heading path."""
+"""Markdown sections: nested, named by their heading path.
+
+Fenced code, comments and front matter are found in the whole text and taken out. Each line left
+is given a letter for what it can be, and one expression over the string of letters finds the
+headings: a run of letters that reads as a list or a quote hides what looks like one inside.
+"""
 
 from __future__ import annotations
 
@@ -6,75 +11,67 @@ import re
 
 from seamline.operators.split.base import Analysis, Region, assemble
 
-ATX = re.compile(r" {0,3}(#{1,6})(?:[ \t]+(.*))?$")
-UNDERLINE = re.compile(r" {0,3}(=+|-+)[ \t]*$")
-RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
-FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
-INDENTED = re.compile(r" {4}|\t")
-CONTAINER = re.compile(r" {0,3}(?:>|[-*+](?:[ \t]|$)|\d{1,9}[.)](?:[ \t]|$))")
-COMMENT = re.compile(r" {0,3}<!--")
+FRONT = re.compile(r"---[ \t]*\n(?=[^\S\n]*\S)(?:.*\n)*?(?:---|\.\.\.)[ \t]*$", re.M)
+OPAQUE = re.compile(
+    r"""^\ {0,3}(?:(`{3,})[^`\n]*|(~{3,})[^\n]*)$(?:(?:\n.*)*?\n\ {0,3}(?:\1`*|\2~*)[ \t]*$|(?:\n.*)*\Z)
+      | ^\ {0,3}(?P<comment><!--(?:(?:.|\n)*?-->.*|(?:.|\n)*\Z))""",
+    re.M | re.X,
+)
+#: Letter and shape of a line. e, c and u underline a paragraph; else they are text, a list item and a rule.
+LETTERS = re.compile(
+    r"""(?P<b>\s*)$ | (?P<h>\ {0,3}\#{1,6}(?:[ \t].*)?)$ | (?P<e>\ {0,3}(?:=+|--)[ \t]*)$ | (?P<c>\ {0,3}-[ \t]*)$ | (?P<u>\ {0,3}-{3,}[ \t]*)$
+      | (?P<r>\ {0,3}(?P<mark>[-*_])(?:[ \t]*(?P=mark)){2,}[ \t]*)$ | (?P<q>\ {0,3}(?:>|[-*+](?:[ \t]|$)|[0-9]{1,9}[.)](?:[ \t]|$))) | (?P<i>\ {4}|\t) | (?P<t>)""",
+    re.X,
+)
+#: An ATX heading; a list or quote with all that belongs to it; a paragraph, which an underline makes a heading.
+BLOCKS = re.compile(r"(?P<atx>h)|[qc][tiqcem]*|[te][ti]*(?P<under>[ecu])?|.")
 CLOSING = re.compile(r"(?:^|[ \t]+)#+[ \t]*$")
 
 
-def front_matter(lines: list[str]) -> int:
-    """Lines of a leading --- block."""
-    if len(lines) < 2 or lines[0].rstrip() != "---" or not lines[1].strip():
-        return 0
-    return next((i + 1 for i, line in enumerate(lines) if i and re.fullmatch(r"(?:---|\.\.\.)[ \t]*", line)), 0)
-
-
-class _Reader:
-    """Block state while lines are read: open fence, open comment, paragraph start, list or quote."""
-
-    def __init__(self) -> None:
-        self.fence, self.comment, self.paragraph, self.inside = "", False, None, False
-        self.found: list[tuple[int, int, str]] = []
-
-    def read(self, i: int, lines: list[str]) -> None:
-        line = lines[i]
-        if not self.fence and (self.comment or COMMENT.match(line)):
-            self.comment, self.paragraph = "-->" not in line, None
-            return
-        mark = FENCE.match(line)
-        if self.fence:
-            if mark and mark[1][0] == self.fence[0] and len(mark[1]) >= len(self.fence) and not mark[2].strip():
-                self.fence = ""
-        elif mark and not (mark[1][0] == "`" and "`" in mark[2]):
-            self.fence, self.paragraph, self.inside = mark[1], None, False
-        elif self.paragraph is not None and (under := UNDERLINE.match(line)):
-            self.found.append((self.paragraph, 1 if under[1][0] == "=" else 2, " ".join(x.strip() for x in lines[self.paragraph : i])))
-            self.paragraph = None
-        elif atx := ATX.match(line):
-            self.found.append((i, len(atx[1]), CLOSING.sub("", atx[2] or "").strip()))
-            self.paragraph, self.inside = None, False
-        elif not line.strip() or RULE.match(line):
-            self.paragraph, self.inside = None, False
-        elif CONTAINER.match(line):
-            self.paragraph, self.inside = None, True
-        elif self.paragraph is None and not self.inside and not INDENTED.match(line):
-            self.paragraph = i
+def line_letters(text: str) -> str:
+    """A letter for each line: x in code and front matter, m in comments, else that of its shape."""
+    letters = []
+    for line in text.split("\n"):
+        m = LETTERS.match(line)
+        letters.append(next(k for k in "bhecurqit" if m[k] is not None))
+    front = FRONT.match(text)
+    hidden = [(0, front.end(), "x")] if front else []
+    at = front.end() if front else 0
+    while m := OPAQUE.search(text, at):
+        hidden.append((m.start(), m.end(), "m" if m["comment"] else "x"))
+        at = max(m.end(), m.start() + 1)
+    for start, end, letter in hidden:
+        first = text.count("\n", 0, start)
+        for i in range(first, first + text.count("\n", start, end) + 1):
+            letters[i] = letter
+    return "".join(letters)
 
 
-def headings(lines: list[str], first: int = 0) -> list[tuple[int, int, str]]:
-    """(line from 0, level, text) of headings outside fences, comments and lists."""
-    reader = _Reader()
-    for i in range(first, len(lines)):
-        reader.read(i, lines)
-    return reader.found
+def headings(text: str) -> list[tuple[int, int, str]]:
+    """(line from 0, level, name) of the headings outside code, comments, lists and quotes."""
+    lines, found = text.split("\n"), []
+    for m in BLOCKS.finditer(line_letters(text)):
+        if m["atx"]:
+            marks, _, name = lines[m.start()].strip().partition(" ") if " " in lines[m.start()].strip() else lines[m.start()].strip().partition("\t")
+            found.append((m.start(), len(marks), CLOSING.sub("", name).strip()))
+        elif m["under"]:
+            level = 1 if "=" in lines[m.end() - 1] else 2
+            found.append((m.start(), level, " ".join(x.strip() for x in lines[m.start() : m.end() - 1])))
+    return found
 
 
 def split_markdown(file: str, source: str, language: str = "markdown") -> Analysis:
-    lines = [x.removesuffix("\r") for x in source.split("\n")]
-    if lines[-1] == "" and not source.split("\n")[-1]:
-        lines.pop()
-    found = headings(lines, front_matter(lines))
-    regions = []
-    first = found[0][0] if found else len(lines)
-    if any(x.strip() for x in lines[:first]):
-        regions.append(Region(1, first, "section", "preamble"))
-    path: list[tuple[int, str]] = []
-    for i, (at, level, text) in enumerate(found):
-        path = [p for p in path if p[0] < level] + [(level, text or "(empty heading)")]
-        end = next((n for n, other, _ in found[i + 1 :] if other <= level), len(lines))
-        regions.append(Region(at + 1, end, "section", " > ".join(t for _, t in path)))
+    """A preamble, and a section a heading, which ends before the next heading of its level or above."""
+    text = re.sub(r"\r$", "", source, flags=re.M).removesuffix("\n")
+    last, regions, open_ = text.count("\n") + 1, [], []
+    found = headings(text)
+    before = found[0][0] if found else last
+    if "".join(text.split("\n")[:before]).strip():
+        regions.append(Region(1, before, "section", "preamble"))
+    for at, level, name in found:
+        while open_ and open_[-1][0] >= level:
+            open_.pop()[1].end = at
+        path = [*(r.name for _, r in open_[-1:]), name or "(empty heading)"]
+        regions.append(Region(at + 1, last, "section", " > ".join(path)))
+        open_.append((level, regions[-1]))
     return assemble(file, source, language, regions)
