@@ -105,16 +105,14 @@ def spread(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def findings(rows: DataFrame) -> DataFrame:
-    """task_id, finding from rows with recall_judged, recall_deterministic, the two selections (arrays)
-    and the required units only one of them covers."""
-    return rows.select(
-        "task_id",
-        F.when(F.col("recall_judged") < F.col("recall_deterministic"), "regression")
-        .when(F.to_json(F.array_sort("selected_judged")) == F.to_json(F.array_sort("selected_deterministic")), "identical")
-        .when(F.size(F.array_except("covered_judged", "covered_deterministic")) > 0, "exclusive")
-        .otherwise("no-gain")
-        .alias("finding"),
-    )
+    """task_id, finding from the judged and the deterministic result of each task (task_id, mode, recall,
+    precision, selected): `regression` where recall fell, else `identical` where both selected the same,
+    else `no-gain` where neither recall nor precision rose; other tasks have no finding."""
+    side = lambda mode, p: rows.where(F.col("mode") == mode).select("task_id", *(F.col(c).alias(f"{p}_{c}") for c in ("recall", "precision", "selected")))
+    both = side("judged", "a").join(side("deterministic", "b"), "task_id")
+    not_up = lambda c: F.coalesce(F.col(f"a_{c}"), F.lit(0.0)) <= F.coalesce(F.col(f"b_{c}"), F.lit(0.0))
+    kind = F.when(F.col("a_recall") < F.col("b_recall"), "regression").when(F.to_json("a_selected") == F.to_json("b_selected"), "identical").when(not_up("recall") & not_up("precision"), "no-gain")
+    return both.select("task_id", kind.alias("finding")).where("finding IS NOT NULL")
 
 
 def threshold_sweep(rows: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
@@ -127,17 +125,45 @@ def threshold_sweep(rows: DataFrame, thresholds: list[float] | None = None) -> D
 
 
 def check_gates(aggregates: DataFrame) -> DataFrame:
-    """mode, metric, split, value, floor, passed; a missing value fails."""
+    """mode, metric, split, value, floor, passed for aggregate_modes() rows: pooled recall, mean precision
+    and mean size reduction against their floors, and judged precision above deterministic. A missing
+    value fails."""
     spark = aggregates.sparkSession
     floors = spark.createDataFrame([(m, k, s, f) for (m, k), fs in GATES.items() for s, f in zip(("tuning", "heldout"), fs, strict=True)], "mode string, metric string, split string, floor double")
-    values = aggregates.unpivot(["mode", "split"], ["recall", "precision", "size_reduction"], "metric", "value")
-    return floors.join(values, ["mode", "metric", "split"], "left").withColumn("passed", F.coalesce(F.col("value") >= F.col("floor"), F.lit(False)))
+    named = aggregates.select("mode", "split", F.col("recall_micro").alias("recall"), F.col("precision_macro").alias("precision"), F.col("size_reduction_macro").alias("size_reduction"))
+    values = named.unpivot(["mode", "split"], ["recall", "precision", "size_reduction"], "metric", "value")
+    fixed = floors.join(values, ["mode", "metric", "split"], "left").select("mode", "metric", "split", "value", "floor", F.coalesce(F.col("value") >= F.col("floor"), F.lit(False)).alias("passed"))
+    side = lambda mode, name: named.where(F.col("mode") == mode).select("split", F.col("precision").alias(name))
+    splits = spark.createDataFrame([("tuning",), ("heldout",)], "split string")
+    above = splits.join(side("judged", "value"), "split", "left").join(side("deterministic", "floor"), "split", "left")
+    return fixed.unionByName(above.select(F.lit("judged").alias("mode"), F.lit("precision over deterministic").alias("metric"), "split", "value", "floor", F.coalesce(F.col("value") > F.col("floor"), F.lit(False)).alias("passed")))
+
+
+def impact(rows: DataFrame) -> DataFrame:
+    """split, tasks, mean recall, precision and selected_chars of the paired differences (task_id, split, and
+    these), and on how many tasks recall rose, stayed and fell; `all` where there is more than one split."""
+    sets = rows.groupingSets([["split"], []], "split").agg(
+        F.grouping("split").alias("whole"),
+        F.count_distinct("split").alias("splits"),
+        F.count("*").alias("tasks"),
+        *(F.avg(c).alias(c) for c in ("recall", "precision", "selected_chars")),
+        *(F.count_if(cond).alias(name) for name, cond in (("better", F.col("recall") > 0), ("same", F.col("recall") == 0), ("worse", F.col("recall") < 0))),
+    )
+    return sets.where("whole = 0 or splits > 1").select(F.when(F.col("whole") == 1, "all").otherwise(F.col("split")).alias("split"), "tasks", "recall", "precision", "selected_chars", "better", "same", "worse")
+
+
+def candidate_recall(units: DataFrame, candidates: DataFrame) -> DataFrame:
+    """task_id, found, total: required units (task_id, unit, chunk_id: any chunk the label stands for) of which
+    some chunk is among the candidates (task_id, chunk_id)."""
+    hit = candidates.select("task_id", "chunk_id").distinct().withColumn("hit", F.lit(1))
+    each = units.join(hit, ["task_id", "chunk_id"], "left").groupBy("task_id", "unit").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    return each.groupBy("task_id").agg(F.sum("hit").alias("found"), F.count("*").alias("total"))
 
 
 def resolve_labels(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     """label, n, file, start_line, end_line: `path::name`, `path::name@start-end`, or a bare path whose
     file is one chunk; a label is good where n is 1."""
-    parts = labels.select("label", F.split_part("label", F.lit("::"), F.lit(1)).alias("file"), F.split_part("label", F.lit("::"), F.lit(2)).alias("rest"))
+    parts = labels.select("label").distinct().select("label", F.split_part("label", F.lit("::"), F.lit(1)).alias("file"), F.split_part("label", F.lit("::"), F.lit(2)).alias("rest"))
     named = parts.select("label", "file", F.regexp_replace("rest", r"@\d+-\d+$", "").alias("symbol"), F.regexp_extract("rest", r"@(\d+)-(\d+)$", 1).alias("s"), F.regexp_extract("rest", r"@(\d+)-(\d+)$", 2).alias("e"))
     own = chunks.select("file", "name", "kind", "start_line", "end_line")
     hit = named.join(own, "file", "left").where(F.when(F.col("symbol") == "", F.col("kind") == "file").otherwise(F.col("name") == F.col("symbol")) & ((F.col("s") == "") | ((F.col("s").try_cast("int") == F.col("start_line")) & (F.col("e").try_cast("int") == F.col("end_line")))))

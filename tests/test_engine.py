@@ -136,7 +136,7 @@ def test_evaluation(spark):
     got = {r.unit: r.covered for r in E.covered_units(units, chosen, ["task"]).collect()}
     assert got == {"a": True, "b": False}
     assert E.recall(E.covered_units(units, chosen, ["task"]), ["task"]).first().recall == 0.5
-    gates = E.check_gates(spark.createDataFrame([("judged", "tuning", 0.9, 0.5, None)], "mode string, split string, recall double, precision double, size_reduction double"))
+    gates = E.check_gates(spark.createDataFrame([("judged", "tuning", 0.9, 0.5, None)], "mode string, split string, recall_micro double, precision_macro double, size_reduction_macro double"))
     passed = {(r["mode"], r.metric, r.split): r.passed for r in gates.collect()}
     assert passed[("judged", "recall", "tuning")] and not passed[("judged", "precision", "tuning")] and not passed[("judged", "size_reduction", "tuning")]
 
