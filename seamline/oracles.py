@@ -42,7 +42,8 @@ q AS (SELECT DISTINCT item_id::VARCHAR AS task_id, unnest({tokens(TEXT)}) AS ter
 scores AS (SELECT task_id, chunk_id, any_value(file) AS file, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 10) AS score
   FROM q JOIN post USING (term) JOIN dfs USING (term) JOIN lens USING (chunk_id), stats GROUP BY ALL)"""
 PARTS = f"""
-tasks AS (SELECT p_brand AS task_id, list_distinct(flatten(list(list_filter({tokens("p_type || ' ' || p_name")}, lambda x: x LIKE '%e%')))) AS words, min(p_name) AS exact FROM part GROUP BY p_brand),
+tasks AS (SELECT p_brand AS task_id, list_distinct(flatten(list({tokens("p_type || ' ' || p_name")}))) AS words FROM part GROUP BY p_brand),
+large AS (SELECT DISTINCT p_brand AS task_id, p_name AS exact FROM part WHERE p_size >= 45),
 names AS (SELECT p_name AS name, min(p_partkey)::VARCHAR AS id FROM part GROUP BY p_name),
 own AS (SELECT id, list_distinct({stems("split_part(name, '.', -1)")}) AS own FROM names)"""
 KEYS = "list_distinct(list_filter([lower({0}), regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g'), array_to_string({1}, '')], lambda k: k <> ''))"
@@ -56,8 +57,8 @@ PARTIAL = """partial AS (SELECT task_id, id AS chunk_id, len(list_intersect(own,
 PAGES = f"""
 files AS (SELECT DISTINCT regexp_extract(url, '^\\w+://([^?#]*)', 1) AS file FROM pages),
 parts AS (SELECT file, string_split(file, '/') AS p FROM files),
-tasks AS (SELECT p[1] AS task_id, min(p[-1]) AS last, min(coalesce(p[2], '') || '/' || p[-1]) AS tail FROM parts GROUP BY 1),
-said AS (SELECT DISTINCT task_id, unnest([tail, last]) AS term FROM tasks),
+tasks AS (SELECT DISTINCT p[1] AS task_id FROM parts),
+said AS (SELECT DISTINCT p[1] AS task_id, unnest([p[-1], coalesce(p[2], '') || '/' || p[-1]]) AS term FROM parts),
 suffixes AS (SELECT DISTINCT file, array_to_string(p[i:], '/') AS suffix FROM parts, unnest(range(1, len(p) + 1)) AS r(i))"""
 TURNS = "turns AS (SELECT conv_id, turn, role, turn * 10 AS s, turn * 10 + floor(length(text) / 40)::BIGINT AS e FROM conversations)"
 
@@ -95,10 +96,10 @@ SQL = {
     "bm25_top10": f"WITH {BM25} SELECT task_id, chunk_id, round(score, 6) AS total, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, file, chunk_id)::INT AS rank FROM scores QUALIFY rank <= 10",
     "lexical_normalized": f"WITH {BM25} SELECT task_id, chunk_id, round(score / max(score) OVER (PARTITION BY task_id), 6) AS lexical FROM scores",
     "partial_name_score": f"WITH {PARTS}, {PARTIAL} SELECT task_id, chunk_id, round(0.9 * c * c / (n * (c + 1)), 6) AS score FROM partial WHERE c > 0",
-    "exact_key_join": f"WITH {PARTS} SELECT DISTINCT task_id, id AS chunk_id FROM tasks, names WHERE list_has_any({keys('exact')}, {keys('name')})",
+    "exact_key_join": f"WITH {PARTS} SELECT DISTINCT task_id, id AS chunk_id FROM large, names WHERE list_has_any({keys('exact')}, {keys('name')})",
     "symbol_signal": f"""WITH {PARTS}, {PARTIAL}, probe AS (SELECT DISTINCT task_id, {stem('x')} AS word FROM (SELECT task_id, unnest(flatten(list_transform(words, lambda v: {split('v')}))) AS x FROM tasks)),
   near AS (SELECT DISTINCT task_id, id AS chunk_id FROM probe JOIN (SELECT id, unnest(own) AS word FROM own) USING (word)),
-  exact AS (SELECT DISTINCT task_id, id AS chunk_id FROM tasks, names WHERE list_has_any({keys('exact')}, {keys('name')})),
+  exact AS (SELECT DISTINCT task_id, id AS chunk_id FROM large, names WHERE list_has_any({keys('exact')}, {keys('name')})),
   joined AS (SELECT task_id, chunk_id, 1.0::DOUBLE AS symbol FROM exact UNION ALL SELECT task_id, chunk_id, 0.9 * c * c / (n * (c + 1)) FROM partial JOIN near USING (task_id, chunk_id) WHERE c > 0)
   SELECT task_id, chunk_id, round(max(symbol), 6) AS symbol FROM joined GROUP BY ALL""",
     "suffix_match": f"WITH {PAGES} SELECT task_id, term AS suffix, file FROM said JOIN suffixes ON term = suffix",
@@ -158,7 +159,8 @@ SQL = {
   UNION ALL SELECT 'test', d || k || '.test.ts', d || k || '.ts', d || k || '.ts', 'heuristic', 'test file naming convention: ' || d || k || '.test.ts <-> ' || d || k || '.ts' FROM own WHERE k % 10 = 0""",
     "graph_neighbors": f"""WITH {SOURCES}, e AS (SELECT k AS a, k + 1 AS b, from_file AS fa, to_file AS fb FROM imp WHERE to_file IS NOT NULL), n AS (SELECT a, b, fb AS f FROM e UNION ALL SELECT b, a, fa FROM e)
   SELECT 'f' || a AS name, 'f' || b AS other_name, 'exact' AS confidence, row_number() OVER (PARTITION BY a ORDER BY f)::INT AS place FROM n""",
-    "judgment_problems": """WITH c AS (SELECT doc_id FROM documents WHERE doc_id % 7 > 0), j AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS n FROM labels)
-  SELECT coalesce(c.doc_id, j.doc_id)::VARCHAR AS chunk_id, CASE WHEN c.doc_id IS NULL THEN 'unknown' WHEN j.doc_id IS NULL THEN 'missing' ELSE 'repeated' END AS problem FROM c FULL JOIN j ON c.doc_id = j.doc_id WHERE c.doc_id IS NULL OR j.doc_id IS NULL OR n > 1""",
+    "judgment_problems": """WITH c AS (SELECT doc_id::VARCHAR AS id FROM documents),
+  j AS (SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 1 END AS n FROM labels UNION ALL SELECT 'x' || doc_id, 1 FROM labels WHERE doc_id % 7 = 0)
+  SELECT coalesce(c.id, j.id) AS chunk_id, CASE WHEN c.id IS NULL THEN 'unknown' WHEN j.id IS NULL THEN 'missing' ELSE 'repeated' END AS problem FROM c FULL JOIN j ON c.id = j.id WHERE c.id IS NULL OR j.id IS NULL OR n > 1""",
     "blended_scores": f"WITH {LABELLED} SELECT doc_id, round(quality + 0.1 * coalesce((n_chars % 97) / nullif(max(n_chars % 97) OVER (PARTITION BY source), 0), 0), 6) AS blended FROM lab",
 }

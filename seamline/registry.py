@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seamline.config import RetrievalConfig
 from seamline.functions import text as T
+from seamline.lineage import cut
 from seamline.operators import evaluate as E
 from seamline.operators import graph as G
 from seamline.operators import index as ix
@@ -91,10 +92,11 @@ def lexical_normalized(spark, sf_dir):
 
 
 def part_terms(spark, sf_dir):
-    """One task for each brand: the stems of its parts' types and names."""
+    """One task for each brand: the stems of its parts' types and names, and the names of its large parts as exact terms."""
     parts = table(spark, sf_dir, "part")
-    words = parts.select(F.col("p_brand").alias("task_id"), F.explode(T.tokenize(F.concat_ws(" ", "p_type", "p_name"))).alias("w")).where("w like '%e%'")
-    exact = parts.groupBy(F.col("p_brand").alias("task_id")).agg(F.array(F.min("p_name")).alias("exact"))
+    words = parts.select(F.col("p_brand").alias("task_id"), F.explode(T.tokenize(F.concat_ws(" ", "p_type", "p_name"))).alias("w"))
+    large = F.when(F.col("p_size") >= 45, F.col("p_name"))
+    exact = parts.groupBy(F.col("p_brand").alias("task_id")).agg(F.array_sort(F.collect_set(large)).alias("exact"))
     none = F.array().cast("array<string>")
     return words.groupBy("task_id").agg(F.array_sort(F.collect_set("w")).alias("words")).join(exact, "task_id").withColumns({"variants": none, "related": none, "mentions_tests": F.lit(False)})
 
@@ -106,7 +108,10 @@ def part_chunks(spark, sf_dir):
 
 
 def partial_name_score(spark, sf_dir):
-    named = part_chunks(spark, sf_dir).join(part_terms(spark, sf_dir).select("task_id", "words"))  # distinct names by 25 brands
+    """Names that share a stem with a task, by an equality join on stems."""
+    chunks, terms = part_chunks(spark, sf_dir), part_terms(spark, sf_dir)
+    met = terms.select("task_id", F.explode("words").alias("word")).join(ix.symbol_words(chunks), "word").select("task_id", F.col("chunk_id").alias("id")).distinct()
+    named = met.join(chunks, "id").join(terms.select("task_id", "words"), "task_id")
     scored = named.select("task_id", F.col("id").alias("chunk_id"), F.round(S.partial_name_score(F.col("name"), F.col("words")), 6).alias("score"))
     return scored.where("score > 0")
 
@@ -127,11 +132,11 @@ def page_files(spark, sf_dir):
 
 
 def page_terms(spark, sf_dir):
-    """One task for each host: words of the host's name; exact terms are a suffix and a base name."""
+    """One task for each host: words of the host's name; exact terms are suffixes and base names of all its files."""
     host, last = F.split_part("file", F.lit("/"), F.lit(1)), T.base_name("file")
     none = F.array().cast("array<string>")
-    by_host = page_files(spark, sf_dir).groupBy(host.alias("task_id")).agg(F.min(last).alias("last"), F.min(F.concat_ws("/", F.split_part("file", F.lit("/"), F.lit(2)), last)).alias("tail"))
-    return by_host.select("task_id", F.array_distinct(T.tokenize("task_id")).alias("words"), F.array("tail", "last").alias("exact"), none.alias("variants"), none.alias("related"), F.lit(False).alias("mentions_tests"))
+    by_host = page_files(spark, sf_dir).groupBy(host.alias("task_id")).agg(F.collect_set(last).alias("last"), F.collect_set(F.concat_ws("/", F.split_part("file", F.lit("/"), F.lit(2)), last)).alias("tail"))
+    return by_host.select("task_id", F.array_distinct(T.tokenize("task_id")).alias("words"), F.array_sort(F.array_union("tail", "last")).alias("exact"), none.alias("variants"), none.alias("related"), F.lit(False).alias("mentions_tests"))
 
 
 def path_signal(spark, sf_dir):
@@ -302,9 +307,9 @@ def html_regions(spark, sf_dir):
 
 
 def retrieve(spark, sf_dir):
-    """Shortlists of all benchmark texts over all documents, by the whole engine."""
+    """Shortlists of all benchmark texts over all documents, by the engine's lexical signals."""
     tasks = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("task_id"), F.col("text").alias("task"))
-    terms = engine.parse_tasks(tasks)
+    terms = cut(engine.parse_tasks(tasks))
     found = S.score_chunks(terms, doc_chunks(spark, sf_dir), RetrievalConfig())
     return S.top_k(found, RetrievalConfig().shortlist_size).select("task_id", "chunk_id", "file", "symbol", F.round("lexical", 9).alias("lexical"), "path", F.round("total", 9).alias("total"), "rank")
 
@@ -331,20 +336,21 @@ def import_graph(spark, sf_dir):
 
 
 def graph_neighbors(spark, sf_dir):
-    chunks = split_files(customer_sources(spark, sf_dir))
+    chunks = cut(split_files(customer_sources(spark, sf_dir)))
     names = chunks.select("id", "name")
     near = G.neighbors(G.build_edges(chunks), chunks)
     return near.join(names, "id").join(names.select(F.col("id").alias("other"), F.col("name").alias("other_name")), "other").select("name", "other_name", "confidence", "place")
 
 
 def judgment_problems(spark, sf_dir):
-    """Documents are candidates; labels are judgments, some of them twice."""
+    """Documents are candidates; labels are judgments, some of them twice and some for ids that no document has."""
     docs = table(spark, sf_dir, "documents").select(F.lit("t").alias("task_id"), F.col("doc_id").cast("string").alias("chunk_id"))
     labels = table(spark, sf_dir, "labels").select(F.lit("t").alias("task_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("quality").cast("double").alias("relevance"))
     twice = labels.where("cast(chunk_id as long) % 9 = 0")
+    strange = labels.where("cast(chunk_id as long) % 7 = 0").withColumn("chunk_id", F.concat(F.lit("x"), "chunk_id"))
     from seamline.operators.judge import check_judgments
 
-    return check_judgments(docs.where("cast(chunk_id as long) % 7 > 0"), labels.unionByName(twice)).select("chunk_id", "problem")
+    return check_judgments(docs, labels.unionByName(twice).unionByName(strange)).select("chunk_id", "problem")
 
 
 def blended_scores(spark, sf_dir):
