@@ -171,7 +171,8 @@ def test_edges(chunks: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def build_edges(chunks: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """All edges, EDGE_COLUMNS."""
+    """All edges, EDGE_COLUMNS. Chunks are read often here, so a splitter that makes them runs once."""
+    chunks = cut(chunks)
     imports = cut(import_edges(chunks, files))
     return imports.unionByName(test_edges(chunks, imports)).select(*EDGE_COLUMNS)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seamline.config import B, K1
 from seamline.functions import text as T
+from seamline.lineage import cut
 
 
 def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
@@ -19,6 +20,16 @@ def postings(chunks: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return tokens.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def wanted_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """postings() of the wanted terms, and for each chunk a row whose term is empty (no token is), so that
+    one pass over the texts gives counts and lengths alike."""
+    held = F.concat(F.coalesce(T.tokenize("content"), F.array().cast("array<string>")), F.array(F.lit("")))
+    rows = chunks.select(F.col("id").alias("chunk_id"), held.alias("tokens"))
+    each = rows.select("chunk_id", (F.size("tokens") - 1).alias("dl"), F.explode("tokens").alias("term"))
+    wanted = terms.select("term").where("term <> ''").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    return each.join(wanted, "term", "left_semi").groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+
+
 def doc_lengths(chunks: DataFrame) -> DataFrame:
     """chunk_id, dl: indexed tokens of each chunk, 0 where it has none."""
     return chunks.select(F.col("id").alias("chunk_id"), F.coalesce(F.size(T.tokenize("content")), F.lit(0)).alias("dl"))
@@ -38,9 +49,10 @@ def bm25_term(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> C
 
 def term_scores(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """chunk_id, term, bm25 of each wanted term (column term) in each chunk that has it."""
-    found = postings(chunks, terms)
+    both = cut(wanted_postings(chunks, terms))
+    found = both.where("term <> ''")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(text_stats(chunks))  # one row
+    stats = F.broadcast(both.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")))  # one row
     scored = found.join(df, "term").join(stats)
     return scored.select("chunk_id", "term", bm25_term(F.col("tf"), F.col("df"), F.col("dl"), F.col("n"), F.col("avgdl")).alias("bm25"))
 

@@ -9,8 +9,6 @@ from seamline.config import MIN_RELEVANCE
 from seamline.lineage import cut
 
 SUPPORT_KINDS, TARGET_KINDS = ["type", "extends", "implements"], ["type", "interface", "class"]
-#: Containers nest no deeper than a file's syntax; a chain is followed this far at most.
-MAX_DEPTH = 64
 
 
 def parent_chains(chunks: DataFrame, ids: DataFrame) -> DataFrame:
@@ -20,9 +18,7 @@ def parent_chains(chunks: DataFrame, ids: DataFrame) -> DataFrame:
     links = links.join(known, "support_id", "left_semi")
     level = cut(ids.select("id").distinct().join(links, F.col("id") == F.col("child")).select("id", "support_id"))
     found = level
-    for _ in range(MAX_DEPTH):
-        if level.isEmpty():
-            break
+    while not level.isEmpty():  # ends where no pair is new, also on cycles
         level = cut(level.withColumnRenamed("support_id", "child").join(links, "child").select("id", "support_id").join(found, ["id", "support_id"], "left_anti").where("support_id <> id"))
         found = found.unionByName(level)
     return found.distinct()

@@ -75,8 +75,7 @@ def run(tasks: DataFrame, chunks: DataFrame, config: RetrievalConfig | None = No
     """Retrieval, judging, selection and regions for (task_id, task) rows. Without a judge every
     candidate scores 1, in the plan; no row reaches the driver."""
     config = config or RetrievalConfig()
-    chunks = chunks.cache()
-    terms = parse_tasks(tasks).cache()
+    chunks, terms = cut(chunks), cut(parse_tasks(tasks))
     best = rank.shortlist(generate_candidates(terms, chunks, config, double_stem), chunks, terms, config)
     best = cut(best)
     if judge_ is None:
