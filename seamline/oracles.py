@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from seamline.config import RetrievalConfig
 from seamline.functions.text import BOUNDARIES
-from seamline.operators.evaluate import THRESHOLDS
+from seamline.operators.evaluate import GATES, THRESHOLDS
 from seamline.sources.files import FILE_TYPES, SHAPES
 
 
@@ -82,6 +82,29 @@ REDACTED = rf"regexp_replace({REDACTED}, '{_ASSIGNED}', '\1[REDACTED]\2', 'g')"
 KNOWN = ", ".join(f"('{e}', '{lang}', '{strategy}')" for lang, strategy, exts, _, _ in FILE_TYPES for e in exts.split())
 LABELLED = "lab AS (SELECT l.*, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id))"
 
+MODE_ROWS = f"""{LABELLED}, rows AS (SELECT source AS task_id, CASE WHEN length(source) % 2 = 0 THEN 'heldout' ELSE 'tuning' END AS split, CASE lang WHEN 'en' THEN 'judged' ELSE 'deterministic' END AS mode,
+  sum(quality) AS hit, count(*) AS total, avg(quality) AS recall, avg(1 - toxic) AS precision, sum(n_chars) AS chars, 1 - sum(toxic * n_chars) / sum(n_chars) AS reduction, list_sort(list(DISTINCT n_chars % 2)) AS chosen FROM lab WHERE lang IN ('en', 'fr') GROUP BY ALL),
+pairs AS (SELECT a.task_id, a.split, a.recall - b.recall AS recall, a.precision - b.precision AS precision, a.chars - b.chars AS chars, a.recall AS ra, b.recall AS rb, a.precision AS pa, b.precision AS pb, a.chosen AS ca, b.chosen AS cb
+  FROM rows a JOIN rows b ON a.task_id = b.task_id AND a.mode = 'judged' AND b.mode = 'deterministic')"""
+FLOORS = ", ".join(f"('{m}', '{k}', '{s}', {f})" for (m, k), fs in GATES.items() for s, f in zip(("tuning", "heldout"), fs, strict=True))
+
+#: (extension, language, chunks as (first line, last line, kind, name)) of the generated sources; § is a number.
+FORMATS = [
+    ("md", "markdown", [(1, 2, "section", "preamble"), (3, 8, "section", "A§"), (5, 8, "section", "A§ > B"), (9, 11, "section", "Set")]),
+    ("json", "json", [(2, 2, "config", "a§"), (3, 4, "config", "b"), (5, 5, "file", None)]),
+    ("yaml", "yaml", [(1, 1, "config", "doc[0].a"), (2, 3, "config", "doc[0].b"), (4, 5, "config", "doc[0].c"), (8, 8, "config", "doc[1].d§")]),
+    ("toml", "toml", [(1, 2, "config", "t"), (3, 4, "config", "a.b§"), (7, 8, "config", "p[0]"), (9, 10, "config", "p[1]")]),
+    ("sql", "sql", [(1, 2, "table", "a.b§"), (4, 4, "query", "select from t§"), (5, 5, "query", "with q"), (6, 6, "function", "tr"), (7, 7, "config", "alter table users"), (8, 8, "query", "insert into only§"), (9, 9, "query", "update u§"), (10, 10, "table", "v§")]),
+    ("scss", "scss", [(1, 1, "config", "$x"), (3, 3, "style", ".a§"), (4, 6, "style", "@media (x)")]),
+    ("css", "css", [(2, 2, "style", ".a§"), (3, 5, "style", "@media print")]),
+    ("html", "html", [(2, 2, "section", "header#top"), (3, 5, "section", 'section "Hi §"'), (5, 7, "section", "script")]),
+    ("py", "python", [(2, 4, "function", "f§"), (5, 5, "config", "X"), (6, 8, "class", "A§"), (10, 11, "method", "A§.p"), (13, 14, "method", "A§.set p")]),
+    ("broken.py", "python", [(1, 2, "function", "f§"), (4, 5, "section", None), (7, 8, "function", "h§")]),
+    ("tsx", "typescript", [(3, 3, "config", "CONFIG"), (4, 7, "function", "over§"), (8, 10, "component", "App"), (11, 12, "class", "Big§"), (14, 16, "method", "Big§.make"), (18, 20, "method", "Big§.get value"), (22, 24, "section", "describe: things §")]),
+    ("go", "go", [(1, 1, "file", None)]),
+]
+FORMAT_ROWS = ", ".join(f"('{ext}', '{language}', {s}, {e}, '{kind}', {'NULL' if name is None else repr(name)})" for ext, language, chunks in FORMATS for s, e, kind, name in chunks)
+
 SOURCES = """
 own AS (SELECT c_custkey AS k, 'src/' || lower(c_mktsegment) || '/c' AS d FROM customer),
 src AS (SELECT k, d || k || '.ts' AS file, d || (k + 1) || '.ts' AS wanted FROM own),
@@ -133,6 +156,19 @@ SQL = {
     "macro_micro": f"""WITH {LABELLED}, t AS (SELECT lang AS mode, CASE WHEN doc_id % 3 = 0 THEN 'heldout' ELSE 'tuning' END AS split, source, sum(quality) AS hit, count(*) AS total, sum(quality) / count(*) AS recall, avg(1 - toxic) AS precision, 1 - sum(quality * n_chars) / sum(n_chars) AS size_reduction FROM lab GROUP BY ALL),
   a AS (SELECT mode, CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, grouping(split) AS g, count(DISTINCT split) AS n, count(*) AS tasks, round(avg(recall), 6) AS recall_macro, round(sum(hit) / sum(total), 6) AS recall_micro, round(avg(precision), 6) AS precision_macro, round(avg(size_reduction), 6) AS size_reduction_macro FROM t GROUP BY GROUPING SETS ((mode, t.split), (mode)))
   SELECT mode, split, tasks, recall_macro, recall_micro, precision_macro, size_reduction_macro FROM a WHERE g = 0 OR n > 1""",
+    "evaluation_gates": f"""WITH {MODE_ROWS}, agg AS (SELECT mode, split, sum(hit) / sum(total) AS recall, avg(precision) AS precision, avg(reduction) AS size_reduction FROM rows GROUP BY ALL),
+  vals AS (UNPIVOT agg ON recall, precision, size_reduction INTO NAME metric VALUE value), floors(mode, metric, split, floor) AS (VALUES {FLOORS})
+  SELECT mode, metric, split, round(value, 6) AS value, round(floor::DOUBLE, 6) AS floor, coalesce(value >= floor, false) AS passed FROM floors LEFT JOIN vals USING (mode, metric, split)
+  UNION ALL SELECT 'judged', 'precision over deterministic', s.split, round(a.precision, 6), round(b.precision, 6), coalesce(a.precision > b.precision, false) FROM (VALUES ('tuning'), ('heldout')) s(split)
+    LEFT JOIN agg a ON a.split = s.split AND a.mode = 'judged' LEFT JOIN agg b ON b.split = s.split AND b.mode = 'deterministic'""",
+    "evaluation_impact": f"""WITH {MODE_ROWS}, g AS (SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, grouping(split) AS whole, count(DISTINCT split) AS splits, count(*) AS tasks, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision,
+    round(avg(chars), 6) AS selected_chars, count(*) FILTER (recall > 0) AS better, count(*) FILTER (recall = 0) AS same, count(*) FILTER (recall < 0) AS worse FROM pairs GROUP BY GROUPING SETS ((pairs.split), ()))
+  SELECT split, tasks, recall, precision, selected_chars, better, same, worse FROM g WHERE whole = 0 OR splits > 1""",
+    "evaluation_findings": f"""WITH {MODE_ROWS} SELECT task_id, CASE WHEN ra < rb THEN 'regression' WHEN ca = cb THEN 'identical' WHEN ra <= rb AND pa <= pb THEN 'no-gain' END AS finding FROM pairs WHERE finding IS NOT NULL""",
+    "candidate_recall": f"""WITH {LABELLED}, u AS (SELECT lang AS task_id, source, max(CASE WHEN toxic = 0 THEN 1 ELSE 0 END) AS hit FROM lab WHERE quality = 1 GROUP BY ALL) SELECT task_id, sum(hit)::BIGINT AS found, count(*) AS total FROM u GROUP BY task_id""",
+    "file_weights": rf"""WITH l AS (SELECT {FILE} AS file, unnest(p) AS x, len(p) AS n, generate_subscripts(p, 1) AS i FROM (SELECT *, string_split({TEXT}, chr(10)) AS p FROM documents)),
+  c AS (SELECT file, length(x) + length(regexp_replace(x, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) + CASE WHEN i < n THEN 1 ELSE 0 END AS chars FROM l)
+  SELECT file, count(*) AS lines, sum(chars)::BIGINT AS chars, max(chars) AS longest FROM c GROUP BY file""",
     "paired_difference": f"""WITH {LABELLED}, t AS (SELECT source AS task_id, lang, avg(quality) AS r, avg(toxic) AS p FROM lab GROUP BY ALL)
   SELECT task_id, round(a.r - b.r, 6) AS recall, round(a.p - b.p, 6) AS precision FROM t a JOIN t b USING (task_id) WHERE a.lang = 'en' AND b.lang = 'fr'""",
     "character_shares": f"""WITH {LABELLED} SELECT lang, sum(CASE WHEN quality = 1 THEN n_chars ELSE 0 END)::BIGINT AS wanted, sum(CASE WHEN quality <> 1 AND toxic = 1 THEN n_chars ELSE 0 END)::BIGINT AS irrelevant, sum(CASE WHEN quality <> 1 AND toxic <> 1 THEN n_chars ELSE 0 END)::BIGINT AS unlabeled FROM lab GROUP BY lang""",
@@ -153,6 +189,9 @@ SQL = {
   SELECT file, 'function' AS kind, 'f' || k AS name, 2 AS s, 4 AS e, 'export function f' || k || '() {{' || chr(10) || '  return f' || (k + 1) || '();' || chr(10) || '}}' AS content FROM src
   UNION ALL SELECT d || k || '.test.ts', 'function', 'test: c' || k, 1, 3, 'test("c' || k || '", () => {{' || chr(10) || '  run();' || chr(10) || '}});' FROM own WHERE k % 10 = 0)
   SELECT left(sha256(file || ':' || s || '-' || e || ':' || kind || ':' || name), 12) AS id, file, kind, name, s AS start_line, e AS end_line, content FROM c""",
+    "format_chunks": f"""WITH shapes(ext, language, s, e, kind, label) AS (VALUES {FORMAT_ROWS}),
+  c AS (SELECT 's/' || s_suppkey || '.' || ext AS file, language, kind, replace(label, '§', s_suppkey::VARCHAR) AS name, s, e FROM supplier, shapes)
+  SELECT left(sha256(file || ':' || s || '-' || e || ':' || kind || ':' || coalesce(name, '')), 12) AS id, file, language, kind, name, s AS start_line, e AS end_line FROM c""",
     "import_graph": f"""WITH {SOURCES}
   SELECT 'import' AS kind, from_file, to_file, 'f' || (k + 1) AS name, CASE WHEN to_file IS NULL THEN 'unresolved' ELSE 'exact' END AS confidence,
     CASE WHEN to_file IS NULL THEN 'no such file in the scanned repository: ' || replace(wanted, '.ts', '.js') ELSE 'import "./c' || (k + 1) || '.js" resolved to ' || to_file || ' (.js specifier mapped to .ts source); f' || (k + 1) || ' is a chunk there' END AS evidence FROM imp

@@ -19,6 +19,7 @@ from seamline.operators import score as S
 from seamline.operators import select as L
 from seamline.operators.split import split_files
 from seamline.plans import engine
+from seamline.plans.evaluation import line_weights
 from seamline.schemas import CHUNK
 from seamline.sources import files as sources
 
@@ -255,6 +256,48 @@ def macro_micro(spark, sf_dir):
     return out.select("mode", "split", "tasks", *(F.round(c, 6).alias(c) for c in ("recall_macro", "recall_micro", "precision_macro", "size_reduction_macro")))
 
 
+def mode_rows(spark, sf_dir):
+    """Results a task and mode: sources are tasks, English documents the judged mode, French ones the other."""
+    rows = labelled(spark, sf_dir).where("lang IN ('en', 'fr')")
+    split = F.when(F.length("source") % 2 == 0, "heldout").otherwise("tuning")
+    return rows.groupBy(F.col("source").alias("task_id"), split.alias("split"), F.when(F.col("lang") == "en", "judged").otherwise("deterministic").alias("mode")).agg(
+        F.sum("quality").cast("long").alias("hit"),
+        F.count("*").alias("total"),
+        F.avg("quality").alias("recall"),
+        F.avg(1 - F.col("toxic")).alias("precision"),
+        F.sum("n_chars").alias("selected_chars"),
+        E.size_reduction(F.sum(F.col("toxic") * F.col("n_chars")), F.sum("n_chars")).alias("size_reduction"),
+        F.array_sort(F.collect_set(F.pmod("n_chars", F.lit(2)))).alias("selected"),
+    )
+
+
+def evaluation_gates(spark, sf_dir):
+    gates = E.check_gates(E.aggregate_modes(mode_rows(spark, sf_dir)))
+    return gates.select("mode", "metric", "split", F.round("value", 6).alias("value"), F.round("floor", 6).alias("floor"), "passed")
+
+
+def evaluation_impact(spark, sf_dir):
+    rows = mode_rows(spark, sf_dir)
+    pairs = E.paired_difference(rows, ["recall", "precision", "selected_chars"], "judged", "deterministic").join(rows.select("task_id", "split").distinct(), "task_id")
+    return E.impact(pairs).select("split", "tasks", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "selected_chars")), "better", "same", "worse")
+
+
+def evaluation_findings(spark, sf_dir):
+    return E.findings(mode_rows(spark, sf_dir))
+
+
+def candidate_recall(spark, sf_dir):
+    """Good documents are required units of their language; documents that are not toxic are candidates."""
+    rows = labelled(spark, sf_dir).select(F.col("lang").alias("task_id"), F.col("source").alias("unit"), F.col("doc_id").cast("string").alias("chunk_id"), "quality", "toxic")
+    return E.candidate_recall(rows.where("quality = 1"), rows.where("toxic = 0")).select("task_id", "found", "total")
+
+
+def file_weights(spark, sf_dir):
+    """Lines and characters of documents as files, as the evaluation weighs them."""
+    files = table(spark, sf_dir, "documents").select(doc_file().alias("path"), F.coalesce("text", F.lit("")).alias("source"))
+    return line_weights(files).groupBy("file").agg(F.count("*").alias("lines"), F.sum("chars").alias("chars"), F.max("chars").alias("longest"))
+
+
 def paired_difference(spark, sf_dir):
     rows = labelled(spark, sf_dir).groupBy(F.col("source").alias("task_id"), F.col("lang").alias("mode")).agg(F.avg("quality").alias("recall"), F.avg("toxic").alias("precision"))
     return E.paired_difference(rows, ["recall", "precision"], "en", "fr").select("task_id", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
@@ -330,6 +373,32 @@ def source_chunks(spark, sf_dir):
     return split_files(customer_sources(spark, sf_dir)).select("id", "file", "kind", "name", "start_line", "end_line", "content")
 
 
+#: A source of each format; § is a supplier's number.
+TEMPLATES = {
+    "md": ("markdown", "intro\n\n# A§\ntext\n## B\n```\n# no\n```\nSet\n===\ny\n"),
+    "json": ("json", '{\n "a§": 1,\n "b": {"c": [1,\n2]},\n "d": 3, "e": 4\n}\n'),
+    "yaml": ("yaml", "a: 1\nb:\n  - x\nc: |\n  t\n\n---\nd§: 1\n"),
+    "toml": ("toml", "t = [1,\n2]\n[a.b§]\nx = 1\n\n# c\n[[p]]\ny=2\n[[p]]\ny=3\n"),
+    "sql": ("sql", "-- c\ncreate table if not exists a.b§ (x int);\n\nselect * from t§ where s = ';';\nwith q as (select 1) select * from q;\ncreate trigger tr after insert on t begin update x set a=1; end;\nalter table users add y int;\ninsert into only§ values (1);\nupdate u§ set a = 1;\ncreate or replace view v§ as select 1;\n"),
+    "scss": ("scss", "$x: 1px;\n// c\n.a§ { b: c; &:hover { d: url(a;b) } }\n@media (x) {\n .b{}\n}\n"),
+    "css": ("css", "/* c */\n.a§ { b: c }\n@media print {\n .b { c: d }\n}\n"),
+    "html": ("html", "<html><body>\n<header id=top>x</header>\n<div><section>\n<h2>Hi §</h2>\n</section></div><script>\nvar a;\n</script>\n</body></html>"),
+    "py": ("python", "import os\n@dec\ndef f§():\n  pass\nX = 1\nclass A§:\n  'd'\n  y = 1\n\n  @property\n  def p(self): return 1\n\n  @p.setter\n  def p(self, v): pass\n"),
+    "broken.py": ("python", "def f§():\n  pass\n\ndef g(:\n  x\n\ndef h§():\n  return 1\n"),
+    "tsx": ("typescript", 'import React, { useState as us } from "react";\nimport "./side.css";\nexport const CONFIG = { a: 1 };\nexport function over§(a: string): string;\nexport function over§(a: any) {\n  return /[{}]/.test(a) ? `x${a}}` : "}";\n}\nexport default function App({ x }: Props) {\n  return <div className="a">it\'s {x}</div>;\n}\nclass Big§ {\n  x = 1;\n\n  static make() {\n    return new Big();\n  }\n  constructor() {}\n  get value() {\n    return this.x;\n  }\n}\ndescribe("things §", () => {\n  it("works", () => {});\n});\n'),
+    "go": ("go", "package x§\n"),
+}
+
+
+def format_chunks(spark, sf_dir):
+    """A file of each format for each supplier, split into chunks."""
+    k = F.col("s_suppkey").cast("string")
+    each = F.explode(F.array(*(F.struct(F.lit(ext).alias("ext"), F.lit(language).alias("language"), F.lit(source).alias("source")) for ext, (language, source) in TEMPLATES.items())))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), each.alias("t"))
+    files = rows.select(F.concat(F.lit("s/"), "k", F.lit("."), "t.ext").alias("path"), F.replace("t.source", F.lit("§"), F.col("k")).alias("source"), "t.language")
+    return split_files(files).select("id", "file", "language", "kind", "name", "start_line", "end_line")
+
+
 def import_graph(spark, sf_dir):
     edges = G.build_edges(split_files(customer_sources(spark, sf_dir)))
     return edges.select("kind", "from_file", "to_file", "name", "confidence", "evidence")
@@ -377,8 +446,8 @@ def entry(spark: SparkSession) -> DataFrame:
 NAMES = [
     tokenize_documents, stem_vocabulary, term_frequency, doc_length_stats, bm25_scores, bm25_top10, lexical_normalized, partial_name_score, exact_key_join, symbol_signal,
     path_signal, suffix_match, proximity_signal, weighted_total_topk, best_edge_per_pair, one_hop_neighbors, expansion_capped, dedupe_first_by_rank, chunk_id_hash, distinct_lines,
-    region_merge, event_regions, coverage, cover_match, recall_precision, macro_micro, paired_difference, character_shares, spread_min_mean_max, supports_closure,
-    threshold_sweep, redact_tokens, classify_path, source_chunks, import_graph, graph_neighbors, judgment_problems, blended_scores, text_windows, html_regions, retrieve, json_result,
+    region_merge, event_regions, coverage, cover_match, recall_precision, macro_micro, evaluation_gates, evaluation_impact, evaluation_findings, candidate_recall, file_weights, paired_difference, character_shares, spread_min_mean_max, supports_closure,
+    threshold_sweep, redact_tokens, classify_path, source_chunks, format_chunks, import_graph, graph_neighbors, judgment_problems, blended_scores, text_windows, html_regions, retrieve, json_result,
 ]
 
 
