@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 from seamline.config import ConfigError, RetrievalConfig
 from seamline.operators.judge import JudgeError, ReplayJudge
 from seamline.operators.render import FORMATS, documents, render, write_atomically
+from seamline.operators.split import warning_summary
 from seamline.plans import engine
 from seamline.sources.scan import UsageError
 
@@ -38,11 +39,11 @@ def main(argv: list[str] | None = None) -> int:
     args = parse(sys.argv[1:] if argv is None else argv)
     spark = SparkSession.builder.getOrCreate()
     try:
-        chunks, _, scan = engine.load_chunks(spark, args.repo)
+        chunks, warned, scan = engine.load_chunks(spark, args.repo)
         tasks = spark.createDataFrame([("0", args.task)], "task_id string, task string")
         judge = ReplayJudge.read(args.replay) if args.replay else None
         result = engine.run(tasks, chunks, judge_=judge, min_relevance=args.min_relevance)
-        doc = documents(result, "judged" if judge else "offline", RetrievalConfig().version, args.explain, scan.warnings)[0]
+        doc = documents(result, "judged" if judge else "offline", RetrievalConfig().version, args.explain, scan.warnings, {r.kind: r.files for r in warning_summary(warned).collect()})[0]
         text = render(args.format, doc)
         if args.output:
             write_atomically(args.output, text, {f"{engine.scans.resolve_root(args.repo)}/{f}" for f in scan.files})

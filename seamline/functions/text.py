@@ -105,11 +105,10 @@ def fence_for(text: Column | str) -> Column:
 
 
 def code_span(text: Column | str) -> Column:
-    """An inline code span that its content cannot end."""
+    """An inline code span that its content cannot end; the blanks inside belong to the marks."""
     t = sanitize_inline(text)
     ticks = F.repeat(F.lit("`"), longest_backtick_run(t) + 1)
-    pad = F.when(t.startswith("`") | t.endswith("`"), " ").otherwise("")
-    return F.concat(ticks, pad, t, pad, ticks)
+    return F.concat(ticks, F.lit(" "), t, F.lit(" "), ticks)
 
 
 def directory_of(path: Column | str) -> Column:

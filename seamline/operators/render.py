@@ -226,7 +226,7 @@ def write_new(path: str, text: str) -> str:
     raise FileExistsError(path)
 
 
-def documents(result, mode: str, config_version: str | None = None, explain: bool = False, warnings: list[str] = ()) -> list[Document]:
+def documents(result, mode: str, config_version: str | None = None, explain: bool = False, warnings: list[str] = (), warning_summary: dict[str, int] | None = None) -> list[Document]:
     """One document for each task of a run. Only what is shown comes to the driver: the regions and
     the at most shortlist_size candidates of a task."""
     facts = {(r.task_id, r.chunk_id): r for r in result.candidates.select("task_id", "chunk_id", "relevance", "score", "origin", *SIGNALS).collect()}
@@ -251,5 +251,5 @@ def documents(result, mode: str, config_version: str | None = None, explain: boo
         own = [*warnings, *([said[r.task_id]] if r.task_id in said else [])]
         if not blocks.get(r.task_id):
             own.append("No relevant chunks found; the result is empty.")
-        out.append(Document(mode, r.task or "", blocks.get(r.task_id, []), left.get(r.task_id, []), own, {}, config_version, None, explain))
+        out.append(Document(mode, r.task or "", blocks.get(r.task_id, []), left.get(r.task_id, []), own, dict(warning_summary or {}), config_version, None, explain))
     return out

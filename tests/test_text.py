@@ -85,6 +85,7 @@ def test_utf16_and_cutting(spark):
 
 
 def test_markup_helpers(spark):
+    assert values(spark, T.code_span("t"), ["a`b", "x", "`"]) == ["`` a`b ``", "` x `", "`` ` ``"]
     assert values(spark, T.longest_backtick_run("t"), ["a``b`", "x"]) == [2, 0]
     assert values(spark, T.fence_for("t"), ["a```b", "x"]) == ["````", "```"]
     assert values(spark, T.sanitize_inline("t"), ["a b\nc"]) == ["a b�c"]
