@@ -31,9 +31,10 @@ KEY_COST = 300
 SAMPLE = 4096
 #: near_dedup links texts whose sets of shingles of so many words are 4/5 similar; op4 has WORDS and RADIUS.
 COPY_WORDS = 5
-#: Hash classes whose parities are a set's sketch, and its columns.
-SKETCH = 256
-SKETCHES = [f"s{j}" for j in range(SKETCH // 64)]
+#: Most hash classes of a set's sketch: smaller ones let more pairs through to the exact comparison.
+MOST_CLASSES = 1 << 15
+#: Shingles that so many texts of the sample share are dealt in chunks at once.
+HOT = 32
 #: Bytes 0..255 as eight byte-wide counters, lowest bit first.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(256, 8).copy().view(np.uint64).ravel()
 
@@ -290,9 +291,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 # near copies by exact similarity: the stage of the pipeline
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """Parities of a set's counts in 64 or more hash classes, three to six a member, so that few members
+    share one. Halving the classes is an exclusive or of the two halves."""
+    classes = min(MOST_CLASSES, max(64, 1 << (3 * len(h)).bit_length()))
+    return np.packbits((np.bincount((h & np.uint64(classes - 1)).astype(np.intp), minlength=classes) & 1).astype(np.uint8)).tobytes()
+
+
 def _sets(rows: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
     """Of each text of `rows` (doc_id, text_key, text) its set of COPY_WORDS shingles: node (hash of the
-    set) and size; `whole`: all hashes; else a sketch of four longs and the keys under which any set
+    set) and size; `whole`: all hashes; else its SimHash fp, its sketch and the keys under which any set
     within a similarity of 0.8 is met.
 
     Sets of similarity 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of either under any
@@ -309,74 +317,111 @@ def _sets(rows: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
         late = shared.value
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            nodes, sizes, kept = [], [], []
-            sketch = np.zeros((batch.num_rows, SKETCH // 64), np.uint64)
+            nodes, sizes, prints, sketches, kept = [], [], [], [], []
             for i in range(batch.num_rows):
                 h = np.unique(np.array(shingle_hashes(data[offsets[i] : offsets[i + 1]].tobytes().lower(), COPY_WORDS), np.uint64))
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 sizes.append(len(h))
                 if not whole:
-                    odd = np.bincount((h & np.uint64(SKETCH - 1)).astype(np.intp), minlength=SKETCH) & 1
-                    sketch[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                    prints.append(majority(h, np.array([len(h)]))[0])
+                    sketches.append(_sketch(h))
                     if len(late):
                         h = h[np.argsort(late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h, kind="stable")]
                     h = h[: len(h) - (4 * len(h) + 4) // 5 + 1]
                 kept.append(h)
             columns = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(np.array(sizes, np.int64))]
-            columns += [] if whole else [pa.array(np.ascontiguousarray(sketch[:, j]).view(np.int64)) for j in range(SKETCH // 64)]
+            columns += [] if whole else [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays([*columns, lists(kept)], names)
 
-    names = ["doc_id", "text_key", "node", "size", *([] if whole else SKETCHES), "hashes"]
-    return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:-1]) + ", hashes array<long>")
+    names = ["doc_id", "text_key", "node", "size", *([] if whole else ["fp", "sketch"]), "hashes"]
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, size long, " + ("" if whole else "fp long, sketch binary, ") + "hashes array<long>")
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Rows of long columns, sorted by the first, in pieces that end where its value changes."""
-    kept: list[np.ndarray] = []
+def _whole_runs(batches: Iterator[pa.RecordBatch], longs: int) -> Iterator[tuple[np.ndarray, pa.Array | None, bool]]:
+    """Rows of `longs` long columns, sorted by the first, in pieces that end where its value changes, the
+    binary column that may follow, and whether a piece ends within a run that is too long to hold."""
+    kept: list[pa.RecordBatch] = []
+
+    def joined() -> tuple[np.ndarray, pa.Array | None]:
+        whole = pa.Table.from_batches(kept)
+        return np.stack([whole.column(j).to_numpy() for j in range(longs)], axis=1), whole.column(longs).combine_chunks() if whole.num_columns > longs else None
+
     for batch in batches:
-        kept.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
-        if sum(map(len, kept)) >= 4 * BUCKET:
-            rows = np.concatenate(kept)
+        kept.append(batch)
+        if sum(b.num_rows for b in kept) >= 4 * BUCKET:
+            rows, more = joined()
             end = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            kept = [rows[end:]]
-            if end:
-                yield rows[:end]
-    if sum(map(len, kept)):
-        yield np.concatenate(kept)
+            yield rows[: end or None], more[:end] if more is not None and end else more, end == 0
+            kept = [b for b in pa.Table.from_batches(kept).slice(end or len(rows)).to_batches() if b.num_rows]
+    if sum(b.num_rows for b in kept):
+        yield *joined(), False
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node) of keys whose nodes differ in their labels; rows are key, label, node, sorted by all."""
-    for rows in _whole_runs(batches):
+    """(key, node) of keys whose nodes differ in their labels; rows are key, label, node, sorted by all.
+
+    Keys of the same nodes become one, named by a hash of the nodes. A run that is too long to hold
+    keeps its key and all its rows.
+    """
+    inside = None
+    for rows, _, cut_off in _whole_runs(batches, 3):
         rows = rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
         starts = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
         sizes = np.diff(np.append(starts, len(rows)))
-        rows = rows[np.repeat(rows[starts, 1] != rows[starts + sizes - 1, 1], sizes)]
-        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 2])], ["key", "node"])
+        names = np.add.reduceat(_mixed(np.ascontiguousarray(rows[:, 2])), starts).view(np.int64)
+        keep = rows[starts, 1] != rows[starts + sizes - 1, 1]
+        for at, long in ((0, inside == rows[0, 0]), (-1, cut_off)):
+            if long:
+                names[at], keep[at] = rows[starts[at], 0], True
+        inside = rows[-1, 0] if cut_off else None
+        keep = np.repeat(keep, sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, sizes)[keep]), pa.array(rows[keep, 2])], ["key", "node"])
+
+
+def _apart(sketches: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Places in which the sketches i and j differ, with as many classes as i has; j has as many or twice that."""
+    data, offsets = text_buffer(sketches)
+    words, at, width = data.view(np.uint64), offsets[:-1] // 8, np.diff(offsets) // 8
+    out = np.zeros(len(i), np.int64)
+    for w in np.unique(width[i]):
+        mine = np.flatnonzero(width[i] == w)
+        for s in range(0, len(mine), max(1, (1 << 20) // int(w))):
+            p, span = mine[s : s + max(1, (1 << 20) // int(w))], np.arange(w)
+            y = words[at[j[p], None] + span]
+            twice = width[j[p]] > w
+            y[twice] ^= words[at[j[p[twice]], None] + w + span]
+            out[p] = np.bitwise_count(words[at[i[p], None] + span] ^ y).sum(axis=1, dtype=np.int64)
+    return out
 
 
-def _candidates(first: bool):
-    """Pairs under one key that may be within a similarity of 0.8 and have different labels; `first`: for each
-    node one pair. Rows are key, size, node, label, sketch, sorted by key and size.
+def _candidates(forest: bool):
+    """Pairs under one key that may be within a similarity of 0.8 and have different labels; `forest`: only
+    as many as join all labels that such pairs join. Rows are key, size, node, label, sketch, sorted by
+    the first three.
 
     Sets of a and b shingles that reach it differ in at most (a + b) / 9 shingles, and parities of
     hash classes differ in no more places, so no pair that reaches it is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _whole_runs(batches):
+        for rows, sketches, _ in _whole_runs(batches, 4):
             key, size, node, label = (np.ascontiguousarray(rows[:, j]) for j in range(4))
-            bits = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
-            found, has, d = [np.zeros((0, 2), np.int64)], np.zeros(len(rows), bool), 1
+            # rows of one key and label are joined from the start; in a forest, found pairs join them further
+            group = np.unique(rows[:, [0, 3]], axis=0, return_inverse=True)[1].ravel()
+            found, d = [np.zeros((0, 2), np.int64)], 1
             stays = np.arange(len(rows) - 1)
             while len(stays):
                 stays = stays[(key[stays] == key[stays + d]) & (5 * size[stays] >= 4 * size[stays + d])]
-                i = stays[label[stays] != label[stays + d]]
-                i = i[~has[i + d]] if first else i
-                off = np.bitwise_count(bits[i] ^ bits[i + d]).sum(axis=1, dtype=np.int64)
-                i = i[9 * off <= size[i] + size[i + d]]
-                has[i + d] = True
+                i = stays[group[stays] != group[stays + d]]
+                i = i[9 * _apart(sketches, i, i + d) <= size[i] + size[i + d]]
                 found.append(np.sort(np.stack([node[i], node[i + d]], axis=1), axis=1))
+                if forest and len(i):
+                    group = local_roots(group[i], group[i + d], int(group.max()) + 1)[group]
                 d += 1
                 stays = stays[stays + d < len(rows)]
             pairs = np.unique(np.concatenate(found), axis=0)
@@ -385,10 +430,26 @@ def _candidates(first: bool):
     return run
 
 
+def _chunked(keys: DataFrame, forest: bool) -> DataFrame:
+    """`keys` (key, node), where keys of over BUCKET nodes are split into chunks; unless for a `forest`, into
+    all pairs of chunks, so that any two nodes of a key still meet."""
+    hot = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET))
+    n_hot = hot.count()
+    if not n_hot:
+        return keys
+    split = keys.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key").withColumn("chunks", F.ceil(F.col("n") / BUCKET)).withColumn("mine", F.pmod(F.xxhash64("key", "node"), "chunks"))
+    if forest:
+        split = split.select(F.xxhash64("key", "mine").alias("key"), "node")
+    else:
+        met = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        split = met.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "node")
+    return semi(keys, hot, ["key"], "left_anti", n_hot).unionByName(split)
+
+
 def _similar(pairs: DataFrame, rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of a similarity of 0.8 at least."""
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    keys = cut(semi(prints, nodes, ["node"], "left_semi", nodes.count()).groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key").distinct())
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of 0.8 at least."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    keys = cut(prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key").distinct())
     some = semi(rows, keys, ["text_key"], "left_semi", keys.count()).select("doc_id", "text_key", "text")
     sets = cut(_sets(some, np.zeros(0, np.uint64), True).select("node", "hashes").dropDuplicates(["node"]))
     a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
@@ -400,39 +461,51 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """doc_id, text_key (xxhash64 of the text), component_id (smallest doc_id reachable) of every row,
     where texts link whose sets of COPY_WORDS shingles have a Jaccard similarity of at least 0.8.
 
-    All such pairs link: keys by the prefix filter, candidates by size and sketch (both lose none),
-    then the sets themselves. A first round compares one candidate a node, a second one all that are
-    not joined by then, so a large group of near copies takes about as many comparisons as it has rows.
-    Null texts and texts without words are one group; a text of fewer words is one shingle.
+    All such pairs link. Pairs come, first, from SimHash fingerprints of the sets within RADIUS, by
+    links(). At a similarity of 0.8 fingerprints differ in about 10 of 64 bits, so many pairs are
+    further apart; the rest come by the prefix filter, size and sketch, which lose none: forests of
+    them under all keys, then all pairs that are not joined by then. Every pair is verified on the
+    sets themselves. Large groups of near copies mostly join in the forests, with about as many
+    comparisons as they have rows.
+
+    Null texts and texts without words are one group; a text of fewer words is one shingle. Rows
+    that repeat a text share its group; a null id is never a component's smallest unless all are.
+    An empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
     sample = hash_sample(rows, "text_key", SAMPLE // 2, rows.count(), "near")
-    said = _sets(sample, np.zeros(0, np.uint64), True).select("node", F.explode("hashes").alias("h"))
-    often = said.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    common = np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
+    said = _sets(sample, np.zeros(0, np.uint64), True).select("node", F.explode("hashes").alias("h")).distinct()
+    often = said.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").collect()
+    common = np.sort(np.array([r.h for r in often], np.int64).view(np.uint64))
+    hot = rows.sparkSession.createDataFrame([(r.h,) for r in often if r.n >= HOT], "key long")
     prints = cut(_sets(rows, common, False))
-    keyed = prints.select(F.explode("hashes").alias("key"), F.col("node").alias("label"), "node")
+    known = cut(prints.select("node", "size", "fp", "sketch").dropDuplicates(["node"]))
 
     def met_by(rows: DataFrame) -> DataFrame:
-        return cut(rows.select("key", "label", "node").repartition("key").sortWithinPartitions("key", "label", "node").mapInArrow(_shared_keys, "key long, node long"))
-
-    met = met_by(keyed)
-    members = met.select("node").distinct()
-    known = cut(prints.select("node", "size", *SKETCHES).join(members, "node", "left_semi").dropDuplicates(["node"]))
-
-    def round_of(keys: DataFrame, labels: DataFrame, first: bool) -> DataFrame:
-        named = known.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        dealt = keys.join(named, "node").select("key", "size", "node", "label", *SKETCHES).repartition("key").sortWithinPartitions("key", "size")
-        return _similar(cut(dealt.mapInArrow(_candidates(first), "a long, b long").distinct()), rows, prints)
-
-    # most near copies meet under some of an eighth of the keys; the second round has all keys
-    edges = round_of(met.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0), known.select("node", F.col("node").alias("label")), True)
+        return rows.select("key", "label", "node").repartition("key").sortWithinPartitions("key", "label", "node").mapInArrow(_shared_keys, "key long, node long").distinct()
+
+    def pairs_of(keys: DataFrame, named: DataFrame, forest: bool) -> DataFrame:
+        dealt = _chunked(keys, forest).join(named, "node").select("key", "size", "node", "label", "sketch").repartition("key").sortWithinPartitions("key", "size", "node")
+        return dealt.mapInArrow(_candidates(forest), "a long, b long")
+
+    def with_labels(keys: DataFrame, labels: DataFrame) -> DataFrame:
+        return keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    keyed = prints.select(F.explode("hashes").alias("key"), "node").withColumn("label", F.col("node"))
+    # a key that is known to be frequent needs no count of its nodes in one task
+    met = cut(met_by(keyed.join(F.broadcast(hot), "key", "left_anti")).unionByName(keyed.join(F.broadcast(hot), "key").select("key", "node").distinct()))
+    # texts of one fingerprint hang on its smallest node, and fingerprints on those they link to
+    heads = cut(known.groupBy("fp").agg(F.min("node").alias("head")))
+    linked = links(heads.select("fp"), heads.count()).join(heads.withColumnRenamed("fp", "a"), "a").select("b", F.col("head").alias("a")).join(heads.withColumnRenamed("fp", "b"), "b").select("a", F.col("head").alias("b"))
+    alike = known.join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    some = pairs_of(met, known.withColumn("label", F.col("node")), True)
+    edges = _similar(cut(linked.unionByName(alike).unionByName(some).distinct()), rows, prints)
     labels = components(edges)
-    left = met_by(met.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    edges = edges.unionByName(round_of(left, labels, False))
-    named = prints.select("doc_id", "text_key", "node").join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(heads, "label").select("doc_id", "text_key", "component_id")
+    rest = pairs_of(cut(met_by(with_labels(met, labels))), with_labels(known, labels), False)
+    edges = edges.unionByName(_similar(cut(rest.distinct()), rows, prints))
+    named = with_labels(prints.select("doc_id", "text_key", "node"), components(edges))
+    smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return named.join(smallest, "label").select("doc_id", "text_key", "component_id")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
