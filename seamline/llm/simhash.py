@@ -514,5 +514,5 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     repeat an id with other texts are decided each by its own text."""
     groups = similar_groups(docs, doc_id, text)
     drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key")).distinct())
-    same = (docs[doc_id] == F.col("drop_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("drop_key"))
+    same = (docs[doc_id] == drop["drop_id"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == drop["drop_key"])
     return docs.join(F.broadcast(drop) if drop.count() <= BROADCAST_KEYS else drop, same, "left_anti")
