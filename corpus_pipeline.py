@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seamline.llm import decontaminate, exact_dedup, mixing, simhash, toxicity
 from seamline.lineage import shared_folder
-from seamline.llm.common import read_table
+from seamline.llm.common import read_table, small_batches
 
 #: From this score on a document is rejected as toxic.
 TOXIC = 0.7
@@ -22,6 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no hits and stays; rows that repeat an id are scored each by its own
     text; without labels nothing is rejected; extra columns pass.
     """
+    small_batches(spark)
     model = toxicity.fit(toxicity.training_rows(docs, read_table(spark, sf_dir, "labels")))
     return toxicity.keep_clean(docs, model, reject=TOXIC)
 
@@ -32,6 +33,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one group; a null id loses to any other; of rows that repeat the id
     that stays, one stays. Extra columns pass.
     """
+    small_batches(spark)
     return exact_dedup.exact_dedup(docs)
 
 
@@ -42,6 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words are one group; rows with a null id stay; rows that repeat an id are decided
     each by its own text. Extra columns pass.
     """
+    small_batches(spark)
     return simhash.near_dedup(docs)
 
 
@@ -51,6 +54,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts hold none and stay; rows that repeat an id are decided each by its own text; an empty
     benchmark rejects nothing. Extra columns pass.
     """
+    small_batches(spark)
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 

@@ -19,12 +19,22 @@ from seamline.lineage import cut as cut
 BROADCAST_KEYS = 2_000_000
 #: Bytes of text that the vectorised scorers hold at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Most rows of a batch that goes to a worker, in the pipeline.
+BATCH_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session sends workers at most BATCH_ROWS rows at once: texts of 10,000 rows, Spark's
+    own number, take tens of MB in the JVM and again in each worker. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def share(spark: SparkSession, value: Any) -> Broadcast:
     """A broadcast that workers read with shared(). Spark's own pickling names classes by module; here
     they travel by value, so that workers need no copy of the package."""

@@ -35,6 +35,10 @@ COPY_WORDS = 5
 MOST_CLASSES = 1 << 15
 #: Shingles that so many texts of the sample share are dealt in chunks at once.
 HOT = 32
+#: Of its keys a row of a pair search carries so many, the smallest, so that most pairs come out under one key only.
+CARRIED_KEYS = 32
+#: Up to so many links are joined to components by one task: 8 MB.
+TASK_LINKS = 1 << 19
 #: Bytes 0..255 as eight byte-wide counters, lowest bit first.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(256, 8).copy().view(np.uint64).ravel()
 
@@ -248,11 +252,21 @@ def links(fps: DataFrame, n: int) -> DataFrame:
         keyed = cut(semi(keyed, hot, ["mask", "sig"], "left_semi", n_hot).select("fp", F.explode(sub[F.col("mask")]).alias("mask")).withColumn("sig", F.col("fp").bitwiseAND(F.col("mask"))).distinct())
 
 
+def _task_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]) for batch in batches]
+    nodes, at = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *parts], axis=1), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[local_roots(a, b, len(nodes))])], ["node", "label"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable from each node of `edges` (a, b).
+    """node, label: the smallest node reachable from each node of `edges` (a, b), which are read more than once.
 
-    Rounds of taking neighbours' smallest labels and of jumping to labels' labels, cut after each.
+    Up to TASK_LINKS edges go to one task. More take rounds of neighbours' smallest labels and of
+    jumps to labels' labels, cut after each.
     """
+    if edges.count() <= TASK_LINKS:
+        return cut(edges.select("a", "b").coalesce(1).mapInArrow(_task_components, "node long, label long"))
     both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
@@ -280,7 +294,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prints = cut(fingerprints(docs, doc_id, text))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     n = distinct.count()
-    labels = components(links(distinct, n))
+    labels = components(cut(links(distinct, n)))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     heads = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = named.select("fp", "label").join(heads, "label").select("fp", "component_id")
@@ -337,21 +351,21 @@ def _sets(rows: DataFrame, common: np.ndarray, whole: bool) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key long, node long, size long, " + ("" if whole else "fp long, sketch binary, ") + "hashes array<long>")
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], longs: int) -> Iterator[tuple[np.ndarray, pa.Array | None, bool]]:
+def _whole_runs(batches: Iterator[pa.RecordBatch], longs: int) -> Iterator[tuple[np.ndarray, list[pa.Array], bool]]:
     """Rows of `longs` long columns, sorted by the first, in pieces that end where its value changes, the
-    binary column that may follow, and whether a piece ends within a run that is too long to hold."""
+    other columns that may follow, and whether a piece ends within a run that is too long to hold."""
     kept: list[pa.RecordBatch] = []
 
-    def joined() -> tuple[np.ndarray, pa.Array | None]:
+    def joined() -> tuple[np.ndarray, list[pa.Array]]:
         whole = pa.Table.from_batches(kept)
-        return np.stack([whole.column(j).to_numpy() for j in range(longs)], axis=1), whole.column(longs).combine_chunks() if whole.num_columns > longs else None
+        return np.stack([whole.column(j).to_numpy() for j in range(longs)], axis=1), [x.combine_chunks() for x in whole.columns[longs:]]
 
     for batch in batches:
         kept.append(batch)
         if sum(b.num_rows for b in kept) >= 4 * BUCKET:
             rows, more = joined()
             end = int(np.searchsorted(rows[:, 0], rows[-1, 0]))
-            yield rows[: end or None], more[:end] if more is not None and end else more, end == 0
+            yield rows[: end or None], [x[: end or None] for x in more], end == 0
             kept = [b for b in pa.Table.from_batches(kept).slice(end or len(rows)).to_batches() if b.num_rows]
     if sum(b.num_rows for b in kept):
         yield *joined(), False
@@ -399,17 +413,31 @@ def _apart(sketches: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_met(keys: pa.Array, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs i, j under `key` share no smaller key among those that their rows carry (`keys`).
+    Of all keys under which such a pair meets, one at least has it."""
+    values, ends, of = keys.flatten().to_numpy(), np.cumsum([0, *keys.value_lengths().to_pylist()]), {}
+    out = np.zeros(len(i), bool)
+    for n, (x, y, k) in enumerate(zip(i.tolist(), j.tolist(), key[i].tolist(), strict=True)):
+        for r in (x, y):
+            if r not in of:
+                of[r] = frozenset(values[ends[r] : ends[r + 1]].tolist())
+        out[n] = min(of[x] & of[y], default=k) >= k
+    return out
+
+
 def _candidates(forest: bool):
     """Pairs under one key that may be within a similarity of 0.8 and have different labels; `forest`: only
     as many as join all labels that such pairs join. Rows are key, size, node, label, sketch, sorted by
-    the first three.
+    the first three; unless for a `forest`, with the first of the node's keys, and a pair that meets
+    under several of them comes out under the smallest.
 
     Sets of a and b shingles that reach it differ in at most (a + b) / 9 shingles, and parities of
     hash classes differ in no more places, so no pair that reaches it is left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, sketches, _ in _whole_runs(batches, 4):
+        for rows, (sketches, *keys), _ in _whole_runs(batches, 4):
             key, size, node, label = (np.ascontiguousarray(rows[:, j]) for j in range(4))
             # rows of one key and label are joined from the start; in a forest, found pairs join them further
             group = np.unique(rows[:, [0, 3]], axis=0, return_inverse=True)[1].ravel()
@@ -419,6 +447,8 @@ def _candidates(forest: bool):
                 stays = stays[(key[stays] == key[stays + d]) & (5 * size[stays] >= 4 * size[stays + d])]
                 i = stays[group[stays] != group[stays + d]]
                 i = i[9 * _apart(sketches, i, i + d) <= size[i] + size[i + d]]
+                if not forest and len(i):
+                    i = i[_first_met(keys[0], key, i, i + d)]
                 found.append(np.sort(np.stack([node[i], node[i + d]], axis=1), axis=1))
                 if forest and len(i):
                     group = local_roots(group[i], group[i + d], int(group.max()) + 1)[group]
@@ -485,8 +515,13 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return rows.select("key", "label", "node").repartition("key").sortWithinPartitions("key", "label", "node").mapInArrow(_shared_keys, "key long, node long").distinct()
 
     def pairs_of(keys: DataFrame, named: DataFrame, forest: bool) -> DataFrame:
-        dealt = _chunked(keys, forest).join(named, "node").select("key", "size", "node", "label", "sketch").repartition("key").sortWithinPartitions("key", "size", "node")
-        return dealt.mapInArrow(_candidates(forest), "a long, b long")
+        dealt, columns = _chunked(keys, forest), ["size", "node", "label", "sketch"]
+        if forest:
+            dealt = dealt.join(named, "node").select("key", *columns)
+        else:
+            mine = dealt.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("all"))
+            dealt = mine.join(named, "node").select(F.explode("all").alias("key"), *columns, F.slice("all", 1, CARRIED_KEYS).alias("keys"))
+        return dealt.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(_candidates(forest), "a long, b long")
 
     def with_labels(keys: DataFrame, labels: DataFrame) -> DataFrame:
         return keys.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
