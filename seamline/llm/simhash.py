@@ -413,17 +413,22 @@ def _apart(sketches: pa.Array, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_met(keys: pa.Array, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which of the pairs i, j under `key` share no smaller key among those that their rows carry (`keys`).
-    Of all keys under which such a pair meets, one at least has it."""
-    values, ends, of = keys.flatten().to_numpy(), np.cumsum([0, *keys.value_lengths().to_pylist()]), {}
-    out = np.zeros(len(i), bool)
-    for n, (x, y, k) in enumerate(zip(i.tolist(), j.tolist(), key[i].tolist(), strict=True)):
-        for r in (x, y):
-            if r not in of:
-                of[r] = frozenset(values[ends[r] : ends[r + 1]].tolist())
-        out[n] = min(of[x] & of[y], default=k) >= k
-    return out
+def _first_met(keys: pa.Array, key: np.ndarray):
+    """A function of pairs i, j under their row's `key`: which of them share no smaller key among those
+    that their rows carry (`keys`). Of all keys under which such a pair meets, one at least has it."""
+    values, ends = keys.flatten().to_numpy(), np.cumsum(np.append(0, keys.value_lengths().to_numpy(zero_copy_only=False)))
+    of: dict[int, frozenset] = {}
+
+    def first(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), bool)
+        for n, (x, y, k) in enumerate(zip(i.tolist(), j.tolist(), key[i].tolist(), strict=True)):
+            for r in (x, y):
+                if r not in of:
+                    of[r] = frozenset(values[ends[r] : ends[r + 1]].tolist())
+            out[n] = min(of[x] & of[y], default=k) >= k
+        return out
+
+    return first
 
 
 def _candidates(forest: bool):
@@ -439,6 +444,7 @@ def _candidates(forest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, (sketches, *keys), _ in _whole_runs(batches, 4):
             key, size, node, label = (np.ascontiguousarray(rows[:, j]) for j in range(4))
+            first = None if forest else _first_met(keys[0], key)
             # rows of one key and label are joined from the start; in a forest, found pairs join them further
             group = np.unique(rows[:, [0, 3]], axis=0, return_inverse=True)[1].ravel()
             found, d = [np.zeros((0, 2), np.int64)], 1
@@ -447,8 +453,7 @@ def _candidates(forest: bool):
                 stays = stays[(key[stays] == key[stays + d]) & (5 * size[stays] >= 4 * size[stays + d])]
                 i = stays[group[stays] != group[stays + d]]
                 i = i[9 * _apart(sketches, i, i + d) <= size[i] + size[i + d]]
-                if not forest and len(i):
-                    i = i[_first_met(keys[0], key, i, i + d)]
+                i = i if forest else i[first(i, i + d)]
                 found.append(np.sort(np.stack([node[i], node[i + d]], axis=1), axis=1))
                 if forest and len(i):
                     group = local_roots(group[i], group[i + d], int(group.max()) + 1)[group]

@@ -13,6 +13,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 import zstandard as zs
@@ -171,6 +172,35 @@ def test_links_through_full_buckets(spark, monkeypatch):
     assert {p: got.get(p, p) for p in prints} == components({p: p for p in prints})
 
 
+@pytest.mark.parametrize("most", [0, simhash.TASK_LINKS])
+def test_components_by_task_and_by_rounds(spark, monkeypatch, most):
+    """A chain, a star and a pair; few links take few jobs, however long the chains."""
+    monkeypatch.setattr(simhash, "TASK_LINKS", most)
+    pairs = [*((i, i + 1) for i in range(-20, 20)), *((100, i) for i in range(90, 110)), (500, 400)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    spark.sparkContext.setJobGroup(f"links {most}", "")
+    got = {r.node: r.label for r in simhash.components(edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"links {most}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: -20 for i in range(-20, 21)} | {i: 90 for i in range(90, 110)} | {400: 400, 500: 400}
+    assert jobs <= 8 if most else jobs > 20
+    assert simhash.components(edges.where("a > 1000")).count() == 0
+
+
+def test_pairs_meet_once(spark):
+    """Sets that share many keys come out as a pair under one of them, in whichever tasks the keys are."""
+    keys, sets = list(range(-5, 35)), [simhash._sketch(np.arange(i, i + 64, dtype=np.uint64)) for i in range(6)]
+    rows = [(k, 64, i, i, sets[i], keys[: simhash.CARRIED_KEYS]) for k in keys for i in range(6)]
+    names = ["key", "size", "node", "label", "sketch", "keys"]
+    got = []
+    for k in keys:
+        one = [r for r in rows if r[0] == k]
+        types = [*[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64())]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*one, strict=True), types, strict=True)], names)
+        got += [tuple(r.values()) for b in simhash._candidates(False)([batch]) for r in b.to_pylist()]
+    assert sorted(got) == [(i, j) for i in range(6) for j in range(i + 1, 6)]
+
+
 def similar_heads(texts):
     """Smallest id of each id's component, where sets of five-word shingles with a Jaccard similarity of 0.8 link."""
     sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := words(t)) else set() for i, t in texts.items()}
